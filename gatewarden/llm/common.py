@@ -38,7 +38,7 @@ def plus(df: DataFrame, **types: str) -> T.StructType:
     """df's schema with more columns."""
     out = T.StructType(list(df.schema.fields))
     for name, kind in types.items():
-        out = out.add(name, kind)
+        out = out.add(name, T.StructType.fromDDL(f"x {kind}")[0].dataType)
     return out
 
 

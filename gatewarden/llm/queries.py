@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from . import chat
+from .audio import op6_mpeg_audio
+from .chat import op1_chat_format
+from .decontam import op5_decontamination
+from .html import op2_html_text
 from .jaccard import op7_ngram_jaccard
+from .langid import op3_language_id
+from .packing import op10_packing
+from .pii import op9_pii
 from .quality import op8_quality
+from .repeats import op4_suffix_dedup
 
 
 def queries() -> dict:
-    return {
-        "op7_ngram_jaccard": op7_ngram_jaccard,
-        "op8_quality": op8_quality,
-    }
+    found = [op1_chat_format, op2_html_text, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_mpeg_audio, op7_ngram_jaccard, op8_quality, op9_pii, op10_packing]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": chat.SQL}

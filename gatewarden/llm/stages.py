@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, quality
+from . import decontam, jaccard, packing, pii, quality
 from .common import table
 
 
@@ -16,6 +16,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    classes = jaccard.near_classes(docs)
-    return docs.join(classes.where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct(), "doc_id", "left_semi")
+    """One document of each group of near duplicates stays: the one with the smallest doc_id. Rows without an id stay."""
+    kept = jaccard.near_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside benchmark windows are cut out of the texts, with the characters between them."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.without_hits(found).select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each span of personal data becomes its kind in brackets."""
+    found = pii.with_spans(docs, pii.train(docs))
+    return found.withColumn("text", pii.masked(F.col("text"), F.col("spans"))).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token sequences: one row per piece."""
+    return packing.packed(docs)
