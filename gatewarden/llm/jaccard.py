@@ -4,8 +4,9 @@ A document's set holds its distinct shingles of five words. Two sets can only re
 meet in the inverted lists of the first n - T + 1 shingles of each, in one order for all documents that puts
 the frequent shingles (long lists) last. These short lists are merged, counting how often a pair occurs; pairs
 whose count leaves the required overlap possible go on, and the remaining elements (the long lists) are probed
-by binary search. Equal sets are one class before the search. A first merge links every member of a list
-to the list's smallest member; the exhaustive merge then only needs pairs of different components.
+by binary search. Equal sets are one class before the search. A first merge links the
+members of a list to the one that shares most lists with others (the middle of a group of copies); the
+exhaustive merge then only needs pairs of different components.
 
 Defined results: null, empty and word-free texts have an empty set and are linked with nothing; texts under
 five words have one shingle; repeated rows are linked like any other equal texts; a null doc_id never names a
@@ -103,6 +104,11 @@ def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, f"rid long, doc_id {kind}, n int, f1 long, f2 long, head array<long>, packed binary")
 
 
+def _head(n: str):
+    """How many shingles of a set of n are merged: n - T + 1 with T = ceil(0.8 n)."""
+    return F.col(n) - F.floor((4 * F.col(n) + 4) / 5).cast("int") + 1
+
+
 def _verified(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity: what one set holds is probed in the other."""
 
@@ -136,30 +142,34 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     index = saved(_index(docs, _frequent(docs)))
     full = index.where("n > 0")
     reps = saved(full.groupBy("f1", "f2").agg(F.min("rid").alias("rid"), F.min_by(F.struct("n", "head"), "rid").alias("x")).select("f1", "f2", "rid", "x.n", "x.head"))
-    lists = reps.select("rid", "n", F.size("head").alias("p"), F.explode("head").alias("key"))
-    shared = lists.groupBy("key").agg(F.min("rid").alias("top"), F.max("rid").alias("last")).where("top < last").select("key", "top")
+    lists = reps.select("rid", F.explode("head").alias("key"))
+    shared = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     short = saved(lists.join(shared, "key"))
-    stars = short.where("rid <> top").groupBy(F.col("rid").alias("b"), F.col("top").alias("a")).agg(F.count("*").alias("c"), F.first("p").alias("p")).where("10 * c >= 3 * p").select("a", "b")
+    nodes = saved(short.groupBy("rid").agg(F.sum("m").alias("met")).join(reps.select("rid", "n"), "rid"))
+    middle = short.select("key", "rid").join(nodes.select("rid", "met"), "rid").groupBy("key").agg(F.max_by("rid", F.struct("met", "rid")).alias("top"))
+    often = short.select("key", "rid").join(middle, "key").where("rid <> top").groupBy(F.least("rid", "top").alias("a"), F.greatest("rid", "top").alias("b")).agg(F.count_distinct("key").alias("c"))
+    stars = often.join(nodes.select(F.col("rid").alias("b"), "n"), "b").where(10 * F.col("c") >= 3 * _head("n")).select("a", "b")
     packed = index.select("rid", "packed")
     links = _verified(stars, packed, percent)
     roots = components(links)
-    marked = saved(short.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "n", "p", F.coalesce("root", "rid").alias("root")))
+    own = nodes.select("rid", "n").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", F.coalesce("root", "rid").alias("root"))
+    marked = saved(short.select("key", "rid").join(own, "rid"))
     mixed = marked.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
     open_ = saved(marked.join(mixed, "key"))
-    left = open_.select("key", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("p").alias("xa"), F.col("root").alias("ra"))
-    right = open_.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("xb"), F.col("root").alias("rb"))
+    left = open_.select("key", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = open_.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    met = left.join(right, "key").where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.struct("na", "nb", "xa", "xb")).alias("s"))
+    met = left.join(right, "key").where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.struct("na", "nb")).alias("s"))
     need = F.ceil((F.col("s.na") + F.col("s.nb")) * percent / F.lit(100.0 + percent) - 1e-9)
-    more = met.where(F.col("c") >= need - F.greatest(F.col("s.na") - F.col("s.xa"), F.col("s.nb") - F.col("s.xb"))).select("a", "b")
+    more = met.where(F.col("c") >= need - F.greatest(F.col("s.na") - _head("s.na"), F.col("s.nb") - _head("s.nb"))).select("a", "b")
     links = links.unionByName(_verified(more, packed, percent))
     roots = components(links)
-    own = index.select("rid", "doc_id", "n", "f1", "f2")
+    rows = index.select("rid", "doc_id", "n", "f1", "f2")
     ids = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
     classes = reps.select("f1", "f2", "rid").join(ids, ["f1", "f2"]).join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f1", "f2", "component_id")
-    linked = own.where("n > 0").join(named, ["f1", "f2"]).select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return linked.unionByName(own.where("n = 0").select("rid", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = rows.where("n > 0").join(named, ["f1", "f2"]).select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return linked.unionByName(rows.where("n = 0").select("rid", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
