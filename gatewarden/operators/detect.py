@@ -120,7 +120,11 @@ def scanning_tool_signature(entries: DataFrame, p: DetectorParams = DEFAULT) ->
     any_ = "(?iU)" + "|".join(f"(?:{x})" for x, _ in SCANNING)
     fields = F.filter(F.array("user_agent", "request_line", "referer"), lambda x: x.isNotNull())
     hit = entries.where(F.exists(fields, lambda x: x.rlike(any_)))
-    found = F.array_compact(F.array(*(F.when(F.exists(fields, lambda x, q=q: x.rlike("(?iU)" + q)), F.struct(F.lit(q).alias("pattern"), F.lit(s).alias("score"))) for q, s in SCANNING)))
+
+    def matches(pattern):
+        return F.exists(fields, lambda x: x.rlike("(?iU)" + pattern))
+
+    found = F.array_compact(F.array(*(F.when(matches(q), F.struct(F.lit(q).alias("pattern"), F.lit(s).alias("score"))) for q, s in SCANNING)))
     rows = hit.withColumn("found", found).where("size(found) > 0")
     g = rows.withColumn("x", F.explode("found")).groupBy("ip").agg(F.sort_array(F.collect_set("x.pattern")).alias("patterns"), F.count("*").alias("matches"), F.max("x.score").alias("max_score"), _last(TIME))
     return _finding(g, "Scanning Tool Signature", "scanning_tool_signature", F.least(F.col("max_score") + 10, F.lit(95)), F.concat(F.lit("Detected scanning tool signatures from IP "), "ip", F.lit(": "), F.array_join(F.slice("patterns", 1, 3), ", ")), "patterns", "matches", "max_score")

@@ -16,8 +16,12 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     """Entry columns and `error` (null for a good line) of every line."""
     text = F.regexp_replace("content", r"(?U)^\s+|\s+$", "")
     got = lines.select("file_path", "line_number", F.col("content").alias("raw_line"), text.alias("t"))
-    group = lambda k: F.regexp_extract("t", LINE, k)
-    got = got.withColumns({"matched": F.col("t").rlike(LINE), "ip": group(1), "user": group(3), "stamp": group(4), "request_line": group(5), "code": group(6), "size": group(7), "tail": group(8), "ref": group(9), "agent": group(10)})
+    # one pass of the pattern for all groups; absent groups are empty
+    cut = "(?s)" + LINE + ".*$"
+    parts = F.split(F.regexp_replace("t", cut, "\u0001".join(f"${k}" for k in (1, 3, 4, 5, 6, 7, 8, 9, 10))), "\u0001")
+    got = got.withColumns({"matched": F.col("t").rlike(LINE), "g": F.when(F.col("t").rlike(LINE), parts)})
+    names = ("ip", "user", "stamp", "request_line", "code", "size", "tail", "ref", "agent")
+    got = got.withColumns({n: F.get("g", F.lit(k)) for k, n in enumerate(names)})
     got = got.withColumns({"ts": parse_clf_timestamp(F.col("stamp")), "status": F.col("code").try_cast("int"), "bytes_sent": F.when(F.col("size") != "-", F.col("size").try_cast("bigint")), "combined": F.col("tail") != ""})
     error = (
         F.when(F.col("t") == "", "Empty log line")

@@ -51,14 +51,18 @@ FROM h WHERE event_id % 20 = 7"""
 
 
 def _spark_sql(sql: str) -> str:
-    return sql.replace("json_extract_string(", "get_json_object(").replace("epoch_us(ts)", "unix_micros(CAST(ts AS TIMESTAMP))").replace("VARCHAR", "STRING").replace("FROM events)", "FROM {events})")
+    return sql.replace("json_extract_string(", "get_json_object(").replace("epoch_us(ts)", "unix_micros(CAST(ts AS TIMESTAMP))").replace("VARCHAR", "STRING").replace("FROM events)", "FROM gatewarden_events)")
+
+
+def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("gatewarden_events")
+    return spark.sql(_spark_sql(sql))
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_spark_sql(ACCESS_LOG), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return _run(spark, sf_dir, ACCESS_LOG)
 
 
 def reputation_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.sql(_spark_sql(REPUTATION_RAW), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return raw.withColumn("query_ts", F.timestamp_add("SECOND", F.col("query_sec").cast("int"), start))
+    return _run(spark, sf_dir, REPUTATION_RAW).withColumn("query_ts", F.timestamp_add("SECOND", F.col("query_sec").cast("int"), start))
