@@ -71,15 +71,23 @@ _BASE = 0x2545F4914F6CDD1D | 1
 _powers: list[np.ndarray] = []
 
 
+def _power_pair(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, U64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 16)
+        if n > 1 << 22:  # for one very long text: not kept
+            return _power_pair(n)
         _powers.clear()
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers.append(np.multiply.accumulate(steps))
+        _powers.extend(_power_pair(size))
     return _powers[0][:n], _powers[1][:n]
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, blocks, lower_ascii, plus, prefix_code, span_codes, table, utf8, word_spans
 
-WINDOW, PHRASES, SHARD, SAMPLE = 10, 500_000, 8 << 20, 8
+WINDOW, PHRASES, SHARD, SAMPLE = 10, 500_000, 2 << 20, 8
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 

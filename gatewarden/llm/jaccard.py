@@ -28,6 +28,8 @@ SHINGLE = 5
 #: Bytes of text worked on at once, the least local count of a frequent shingle, its least total, and how many
 #: of them are known to every task (a bound on what is broadcast, 8 bytes each; beyond it lists are just longer).
 BLOCK, LOCAL, FREQUENT, KNOWN = 8 << 20, 3, 16, 100_000
+#: Bytes whose shingles are coded at once; BLOCK bytes are counted together.
+CODED = 2 << 20
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = False
 _M = U64(0x9FB21C651E98DF25)
@@ -64,7 +66,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         for b in batches:
             data, offsets = utf8(b.column("text"))
             for x, y in blocks(offsets, BLOCK):
-                sets = shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                sets = [s for u, v in blocks(offsets[x : y + 1], CODED) for s in shingle_sets(data[offsets[x + u] : offsets[x + v]], offsets[x + u : x + v + 1] - offsets[x + u])]
                 keys, n = np.unique(np.concatenate(sets), return_counts=True)
                 keep = n >= LOCAL
                 yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["key", "n"])
@@ -81,7 +83,7 @@ def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         often, pack = known.value, zstandard.ZstdCompressor(3)
         for b in batches:
             data, offsets = utf8(b.column("text"))
-            for x, y in blocks(offsets, BLOCK):
+            for x, y in blocks(offsets, CODED):
                 base, sizes = offsets[x], []
                 raw = data[base : offsets[y]]
                 codes, heads, texts = [], [], []
