@@ -13,8 +13,20 @@ from pyspark.sql import types as T
 U64 = np.uint64
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held several times over.
+BATCH_ROWS = 2000
+
+
+def tuned(spark: SparkSession) -> None:
+    """Smaller Arrow batches, where the session has Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read through Spark so that any store works."""
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +41,7 @@ def scratch(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    tuned(df.sparkSession)
     path = f"{scratch(df.sparkSession)}/gatewarden/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -45,7 +45,7 @@ class WordEncoder:
     #: The tokenizer's own split for such texts.
     WORDS = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\w\s]|_)+")
     #: Pieces between white space that are kept once encoded.
-    MOST = 1_000_000
+    MOST = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

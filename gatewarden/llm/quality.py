@@ -129,10 +129,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 0
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, row_bytes: int = TRAIN_ROW_BYTES) -> DataFrame:
-    """The bounded training sample: rows in order of a hash of doc_id, from those open for training."""
+    """The bounded training sample: at most `rows` labelled documents in order of a hash of doc_id.
+
+    Only ids are put in order; the chosen ids, `rows` at most, are broadcast to the documents.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & open_for_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     docs = documents.where(F.octet_length("text") <= row_bytes).select("doc_id", "text")
-    return docs.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(rows).select("text", "quality")
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id")).select("text", "quality")
 
 
 def open_for_training(doc_id):
