@@ -24,9 +24,23 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"encoding": F.when(good, "utf-8").otherwise("latin-1"), "content": F.when(good, F.col("content")).otherwise(F.decode(F.col("content").cast("binary"), "ISO-8859-1"))})
 
 
+def _empty_files(spark: SparkSession, paths) -> list[tuple[str, int]]:
+    """Files without a byte, from the file system's listing: Spark's readers pass over them."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for p in [paths] if isinstance(paths, str) else paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        for top in fs.globStatus(path) or ():
+            for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+                if f.isFile() and f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")):
+                    out.append((f.getPath().toString(), 0))
+    return out
+
+
 def file_inventory(spark: SparkSession, paths, max_bytes: int | None = None) -> DataFrame:
     """Size and line count of every file; empty and too large files are flagged."""
     files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file_path"), F.col("length").alias("file_size"))
+    files = files.unionByName(spark.createDataFrame(_empty_files(spark, paths), "file_path string, file_size long"))
     lines = decode_lines(read_log_lines(spark, paths)).groupBy("file_path").agg(F.count("*").alias("line_count"), F.min("encoding").alias("encoding"))
     same = F.regexp_replace("file_path", "^file:/+", "file:/")
     out = files.withColumn("file_path", same).join(lines.withColumn("file_path", same), "file_path", "left")
