@@ -128,14 +128,13 @@ def _ranges(codes: np.ndarray, ranges: int) -> np.ndarray:
     return ((codes >> U64(40)) * U64(ranges) >> U64(24)).astype(np.int64)
 
 
-def _work(chunk: Chunk, replies, ranges: int) -> dict:
-    """All that is known of a chunk after the rounds that have been answered."""
+def _work(chunk: Chunk, replies, ranges: int, done_rounds: int) -> dict:
+    """All that is known of a chunk after the rounds that are done (a chunk of short texts has no answers)."""
     state: dict = {}
     key, low, place = _least(chunk.sample, chunk.doc)
     counts = np.bincount(_ranges(key, ranges), minlength=ranges)
     state[1] = (key, low, counts)
-    answered = {r["round"] for r in replies or ()}
-    if 1 not in answered:
+    if done_rounds < 1:
         return state
     high = np.full(len(key), np.iinfo(np.int64).min)
     np.maximum.at(high, place, chunk.doc)
@@ -153,7 +152,7 @@ def _work(chunk: Chunk, replies, ranges: int) -> dict:
     counts2 = np.bincount(area[at], minlength=ranges)
     state[2] = (run[at], least, counts2, chunk.sample[alive[at]])
     state["runs"] = (alive, which, least)
-    if 2 not in answered:
+    if done_rounds < 2:
         return state
     bits = _bits(replies, 2, ranges, counts2)
     done, go_on = (bits & 1).astype(bool), (bits & 2).astype(bool)
@@ -166,7 +165,7 @@ def _work(chunk: Chunk, replies, ranges: int) -> dict:
     key3, low3, place3 = _least(chunk.windows(at) if len(at) else np.zeros(0, U64), docs)
     counts3 = np.bincount(_ranges(key3, ranges), minlength=ranges)
     state[3] = (key3, low3, counts3)
-    if 3 in answered:
+    if done_rounds >= 3:
         state["windows"] = at[_bits(replies, 3, ranges, counts3).astype(bool)[place3] | (docs > low3[place3])]
     return state
 
@@ -178,7 +177,7 @@ def _send(chunks: DataFrame, round_: int, ranges: int, length: int) -> DataFrame
         for b in batches:
             for r in b.to_pylist():
                 chunk = Chunk(r["ids"], r["sizes"], r["packed"], length)
-                got = _work(chunk, r.get("replies"), ranges)[round_]
+                got = _work(chunk, r.get("replies"), ranges, round_ - 1)[round_]
                 codes, low, counts = got[:3]
                 docs, local = np.unique(low, return_inverse=True)
                 table_ = zstandard.compress(np.diff(docs, prepend=0).astype(np.int64).tobytes())
@@ -248,7 +247,7 @@ def repeated_spans(documents: DataFrame, length: int = 50) -> DataFrame:
                 chunk = Chunk(r["ids"], r["sizes"], r["packed"], length)
                 edge = np.zeros(len(chunk.data) + 1, np.int32)
                 if r["replies"]:
-                    state = _work(chunk, r["replies"], ranges)
+                    state = _work(chunk, r["replies"], ranges, 3)
                     runs, at = state["covered"], state["windows"]
                     np.add.at(edge, chunk.first[runs], 1)
                     np.add.at(edge, chunk.last[runs] + length, -1)
