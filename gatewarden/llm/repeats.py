@@ -69,7 +69,8 @@ class Chunk:
         self.n = max(0, n - length + 1)
         if not self.n:
             self.first = self.last = np.zeros(0, np.int64)
-            self.sample = np.zeros(0, U64)
+            self.sample = self.rank = np.zeros(0, U64)
+            self.code = np.zeros(1, U64)
             self.doc = np.zeros(0, np.int64)
             return
         self.code = prefix_code(self.data)
