@@ -1,12 +1,13 @@
 """N-gram Jaccard join by T-occurrence search.
 
-A document's set holds its distinct shingles of five words. Two sets can only reach the similarity if they
-meet in the inverted lists of the first n - T + 1 shingles of each, in one order for all documents that puts
-the frequent shingles (long lists) last. These short lists are merged, counting how often a pair occurs; pairs
-whose count leaves the required overlap possible go on, and the remaining elements (the long lists) are probed
-by binary search. Equal sets are one class before the search. A first merge links the
-members of a list to the one that shares most lists with others (the middle of a group of copies); the
-exhaustive merge then only needs pairs of different components.
+A document's set holds its distinct shingles of five words, in one order for all documents that puts the
+frequent shingles (long lists) last. Two sets that share the T shingles they need also share one that has at
+least T shingles from it to the end in both; so lists are merged only where both members stand that early, which
+leaves out the long ones. Pairs found are probed in each other's first n - T + 1 shingles, T now for the least
+partner; those whose count leaves the required overlap possible are probed whole, by binary search. Equal sets
+are one class before the search. A first merge links the members of a list to the one that shares most lists
+with others (the middle of a group of copies); the exhaustive merge then only needs pairs of different
+components.
 
 Defined results: null, empty and word-free texts have an empty set and are linked with nothing; texts under
 five words have one shingle; repeated rows are linked like any other equal texts; a null doc_id never names a
@@ -60,7 +61,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Codes of frequent shingles, sorted: any choice gives right results, a good one short lists."""
+    """Codes of frequent shingles, the most frequent first: any choice gives right results, a good one short lists."""
 
     def count(batches):
         for b in batches:
@@ -72,15 +73,16 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["key", "n"])
 
     found = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    return np.sort(found.orderBy(F.desc("n"), "key").limit(KNOWN).select("key").toPandas()["key"].to_numpy(np.int64).view(U64))
+    return found.orderBy(F.desc("n"), "key").limit(KNOWN).select("key").toPandas()["key"].to_numpy(np.int64).view(U64)
 
 
 def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Per document: its size, its set's 128-bit code, the first n - T + 1 shingles, and the packed text."""
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    by_code = np.argsort(frequent)
+    known = docs.sparkSession.sparkContext.broadcast((frequent[by_code], by_code.astype(np.int32)))
 
     def run(batches):
-        often, pack = known.value, zstandard.ZstdCompressor(3)
+        (often, rank), pack = known.value, zstandard.ZstdCompressor(3)
         for b in batches:
             data, offsets = utf8(b.column("text"))
             for x, y in blocks(offsets, CODED):
@@ -92,8 +94,9 @@ def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     sizes.append(n)
                     codes.append((int(np.bitwise_xor.reduce(mix(s), initial=0)), int(np.add.reduce(mix(s ^ _M), initial=0))))
                     if len(often) and n:
-                        late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                        s = np.concatenate([s[~late], s[late]])
+                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                        late = often[at] == s
+                        s = np.concatenate([s[~late], s[late][np.argsort(-rank[at[late]])]])
                     heads.append(s[: n - (4 * n + 4) // 5 + 1].view(np.int64) if n else s.view(np.int64))
                     texts.append(pack.compress(raw[offsets[x + k] - base : offsets[x + k + 1] - base].tobytes()))
                 fp = np.array(codes, U64).reshape(-1, 2).view(np.int64)
@@ -144,7 +147,7 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     index = saved(_index(docs, _frequent(docs)))
     full = index.where("n > 0")
     reps = saved(full.groupBy("f1", "f2").agg(F.min("rid").alias("rid"), F.min_by(F.struct("n", "head"), "rid").alias("x")).select("f1", "f2", "rid", "x.n", "x.head"))
-    lists = reps.select("rid", F.explode("head").alias("key"))
+    lists = reps.select("rid", F.posexplode("head").alias("pos", "key"))
     shared = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     short = saved(lists.join(shared, "key"))
     nodes = saved(short.groupBy("rid").agg(F.sum("m").alias("met")).join(reps.select("rid", "n"), "rid"))
@@ -155,15 +158,18 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = _verified(stars, packed, percent)
     roots = components(links)
     own = nodes.select("rid", "n").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", F.coalesce("root", "rid").alias("root"))
-    marked = saved(short.select("key", "rid").join(own, "rid"))
+    marked = saved(short.select("key", "rid", "pos").join(own, "rid"))
     mixed = marked.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
     open_ = saved(marked.join(mixed, "key"))
-    left = open_.select("key", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = open_.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    met = left.join(right, "key").where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.struct("na", "nb")).alias("s"))
-    need = F.ceil((F.col("s.na") + F.col("s.nb")) * percent / F.lit(100.0 + percent) - 1e-9)
-    more = met.where(F.col("c") >= need - F.greatest(F.col("s.na") - _head("s.na"), F.col("s.nb") - _head("s.nb"))).select("a", "b")
+    left = open_.select("key", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("ia"))
+    right = open_.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("pos").alias("ib"))
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent) - 1e-9)
+    early = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & early
+    met = left.join(right, "key").where(fits).select("a", "b", "na", "nb").distinct()
+    probed = met.join(reps.select(F.col("rid").alias("a"), F.col("head").alias("ha")), "a").join(reps.select(F.col("rid").alias("b"), F.col("head").alias("hb")), "b")
+    rest = F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
+    more = probed.where(F.size(F.array_intersect("ha", "hb")) >= need - rest).select("a", "b")
     links = links.unionByName(_verified(more, packed, percent))
     roots = components(links)
     rows = index.select("rid", "doc_id", "n", "f1", "f2")
