@@ -30,7 +30,7 @@ SHINGLE = 5
 #: of them are known to every task (a bound on what is broadcast, 8 bytes each; beyond it lists are just longer).
 BLOCK, LOCAL, FREQUENT, KNOWN = 8 << 20, 3, 16, 100_000
 #: Bytes whose shingles are coded at once; BLOCK bytes are counted together.
-CODED = 2 << 20
+CODED = 512 << 10
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = False
 _M = U64(0x9FB21C651E98DF25)
