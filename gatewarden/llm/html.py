@@ -1,12 +1,14 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Every page is read as tokens: the paths of its elements and its text blocks. Per host, tokens that occur
-equally often on the same pages (equal occurrence vectors, held as two 64-bit sums over pages) form a class.
-A class is valid if it is on enough pages and its paths nest (no path occurs without the path above it); valid
-classes nest by their paths into the host's template. Text blocks of a valid class are part of the template;
-the other places are slots. The main slot is the article or main element; without one, the host's slot with the
-most text that varies, then the page's. The blocks of the main slot are returned without template
-text, links lists, adverts, forms, notices, comments and other named boilerplate inside it.
+Every page is read as tokens: the paths of its elements, its text blocks and its layout (the set of its container
+paths). Over the distinct pages of a host, tokens with equal occurrence vectors (held as two 64-bit sums over
+pages) form a class; it is valid on PAGES pages, whatever their share of the host. Paths nest by construction.
+A layout on that many pages has a slot: the container (or article or main element) with the most text that varies.
+Shared text outside the slot goes; inside it, shared text goes if its class holds an element path or layout, that
+is, if it comes with the layout. Text inside the slot that only some pages of a layout share is a copied passage
+and stays, and a slot is never emptied. Pages without a slot by template fall back on tag and class names, then on
+their heaviest container. Lists of links, adverts, forms, notices, comments and other named boilerplate never
+count as a slot and are left out inside one: their text varies as the main text does.
 
 Defined results: null and empty html give an empty text; a null or odd url has no host and so no template,
 and its page is judged alone; broken and cut-off markup is read as far as it goes; repeated rows are extracted
@@ -17,13 +19,13 @@ from __future__ import annotations
 
 import html as entities
 import re
+from hashlib import blake2b
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, table
+from .common import plus, saved, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title|object|canvas|math|button)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s>/]*)(?P<attrs2>[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
@@ -40,10 +42,10 @@ NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adbox|ba
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"}
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main)(?:[\s_-]?(?:body|content|text))?(?=$|[\s])", re.I)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-#: A class is valid on this many pages and this share of a host's; template texts a host keeps (the most frequent).
-PAGES, SHARE, TEXTS = 3, 0.5, 500
-#: Parts that a host's pages are dealt into for the join; its template, of bounded size, goes to each.
-SALTS = 32
+#: Elements of running text: the container of a text is the nearest element above it of another kind.
+TEXTUAL = HEADINGS | {"p", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "caption", "center", "address"} | INLINE
+#: A class is valid on this many distinct pages of a host.
+PAGES = 3
 
 
 class Block:
@@ -57,7 +59,7 @@ def read(page: str) -> tuple[list[Block], dict[str, int]]:
     """(text blocks in page order, how often each element path occurs)."""
     blocks: list[Block] = []
     paths: dict[str, int] = {}
-    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # name, path, depth of main (0: outside), boilerplate
+    stack: list[tuple[str, str, str, bool]] = [("", "", "", False)]  # name, path, path of main ("": outside), boilerplate
     parts: list[str] = []
     in_link = linked = 0
 
@@ -121,10 +123,9 @@ def read(page: str) -> tuple[list[Block], dict[str, int]]:
         bad = bad or name in BOILERPLATE or (named and not whole) or (name == "header" and not main)
         if name == "header" and main:
             label = "~" + label
-        depth = len(stack)
-        if not main and not bad and (name in ("article", "main") or main_named):
-            main = depth
         path = f"{above}/{name}{label}" if len(above) < 400 else above
+        if not main and not bad and (name in ("article", "main") or main_named):
+            main = path
         if not attrs.rstrip().endswith("/") or name not in INLINE:
             stack.append((name, path, main, bad))
         paths[path] = paths.get(path, 0) + 1
@@ -141,11 +142,22 @@ def _named(attrs: str) -> tuple[bool, bool, str]:
     itemprop = got.get("itemprop", "").lower()
     bad = hidden or role in ROLES or bool(names and NAMED.search(names)) or got.get("aria-hidden") == "true"
     main = role in ("main", "article") or itemprop == "articlebody" or bool(names and MAIN.search(names))
-    return bad and not main, main, "." + ".".join(names.split()[:2]) if names else ""
+    return bad and not main, main, "." + ".".join(names.split()[:2]).replace("/", "_") if names else ""
 
 
 def _code(x: str) -> int:
-    return int(np.frombuffer(__import__("hashlib").blake2b(x.encode(), digest_size=8).digest(), np.int64)[0])
+    return int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _textual(step: str) -> bool:
+    return re.split(r"[.~]", step, maxsplit=1)[0] in TEXTUAL
+
+
+def _container(path: str) -> str:
+    """The nearest element at or above the path that is not one of running text."""
+    while path and _textual(path.rpartition("/")[2]):
+        path = path.rpartition("/")[0]
+    return path
 
 
 def host_of(url):
@@ -154,64 +166,94 @@ def host_of(url):
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, code, n, above, is_text, slot, size): the tokens of every page; slot is a text's path."""
+    """(host, page, layout, t) for every page; t: code, n, is_text, slot (of a text that may be main) and size."""
+    cell = pa.struct([("code", pa.int64()), ("n", pa.int32()), ("is_text", pa.bool_()), ("slot", pa.int64()), ("size", pa.int32())])
 
     def run(batches):
         for b in batches:
-            rows: dict = {k: [] for k in ("host", "page", "code", "n", "above", "is_text", "slot", "size")}
-            for host, page, text in zip(*(b.column(k).to_pylist() for k in ("host", "page", "html")), strict=True):
+            layouts, found = [], []
+            for text in b.column("html").to_pylist():
                 blocks, paths = read(text or "")
+                layout = _code("\n".join(sorted({_container(p) for p in paths})))
+                own = [(layout, 1, False, None, 0)] + [(_code(p), n, False, None, 0) for p, n in paths.items()]
                 seen: dict = {}
                 for x in blocks:
-                    if not x.main:
-                        key = (x.path, x.text)
-                        old = seen.get(key, (0, 0))
-                        seen[key] = (old[0] + 1, old[1] + len(x.text))
-                found = [(_code(p), n, _code(p.rpartition("/")[0]), False, None, 0) for p, n in paths.items()]
-                found += [(_code(p + "\0" + t), n, _code(p), True, p, size) for (p, t), (n, size) in seen.items()]
-                for code, n, above, is_text, slot, size in found:
-                    for k, v in zip(rows, (host, page, code, n, above, is_text, slot, size), strict=True):
-                        rows[k].append(v)
-            kinds = {"host": pa.string(), "slot": pa.string(), "is_text": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()], names=list(rows))
+                    key = (x.path, x.text)
+                    if key in seen:
+                        seen[key][1] += len(x.text)
+                    else:
+                        seen[key] = [None if x.bad else x.main or _container(x.path), len(x.text)]
+                slots = {x: None if x is None else _code(x) for x, _ in seen.values()}
+                own += [(_code(p + "\0" + t), 1, True, slots[x], size) for (p, t), (x, size) in seen.items()]
+                layouts.append(layout)
+                found.append([dict(zip(("code", "n", "is_text", "slot", "size"), o, strict=True)) for o in own])
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page"), pa.array(layouts, pa.int64()), pa.array(found, pa.list_(cell))], names=["host", "page", "layout", "t"])
 
-    return pages.mapInArrow(run, "host string, page long, code long, n long, above long, is_text boolean, slot string, size long")
+    return pages.mapInArrow(run, "host string, page long, layout long, t array<struct<code: long, n: int, is_text: boolean, slot: long, size: int>>")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row per host: codes of its template texts and its main slot's path. pages: host, page, html."""
-    t = tokens(pages.where("host IS NOT NULL"))
-    sizes = pages.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages"))
-    vectors = t.groupBy("host", "code").agg(
+    """One row per distinct page: codes of its shared texts, of those its layout comes with, and its slot's code.
+
+    pages: host, page (a code of html), html.
+    """
+    t = saved(tokens(pages.where("host IS NOT NULL AND html IS NOT NULL")).dropDuplicates(["host", "page"]))
+    each = t.select("host", "page", "layout", F.inline("t"))
+    vectors = each.groupBy("host", "code").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("v1"), F.bit_xor(F.xxhash64(F.lit(3), "page", "n")).alias("v2"), F.count("*").alias("support"),
-        F.first("above").alias("above"), F.first("is_text").alias("is_text"), F.first("slot").alias("slot"), F.sum("size").alias("size"),
+        F.first("is_text").alias("is_text"), F.first("slot").alias("slot"), F.sum("size").alias("size"), F.min("layout").alias("l1"), F.max("layout").alias("l2"),
     )
-    often = vectors.join(sizes, "host").where((F.col("support") >= PAGES) & (F.col("support") >= SHARE * F.col("pages")))
-    upper = often.where("NOT is_text").select("host", F.col("code").alias("above"), F.col("support").alias("upper"))
-    nested = often.join(upper, ["host", "above"], "left").withColumn("fits", F.coalesce(F.col("upper") >= F.col("support"), ~F.col("is_text")))
-    classes = nested.groupBy("host", "v1", "v2").agg(F.min("fits").alias("valid"), F.collect_list(F.when(F.col("is_text"), F.col("code"))).alias("texts"), F.max("support").alias("support"))
-    fixed = classes.where("valid AND size(texts) > 0").groupBy("host").agg(F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("support", "texts")), asc=False), lambda x: x["texts"])), 1, TEXTS).alias("texts"))
-    slots = vectors.where(F.col("is_text") & (F.col("support") < PAGES)).groupBy("host", "slot").agg(F.sum("size").alias("size")).groupBy("host").agg(F.max_by("slot", F.struct("size", "slot")).alias("slot"))
-    return sizes.where(F.col("pages") >= PAGES).select("host").join(fixed, "host", "left").join(slots, "host", "left")
-
-
-def extract(page: str | None, texts: frozenset | set = frozenset(), slot: str | None = None) -> str:
-    """The main text of one page, given its host's template texts and main slot."""
+    often = F.col("support") >= PAGES
+    # a text on fewer pages has at most two layouts: of all these only the sums by layout and slot are kept
+    none = F.array(F.lit(None).cast("long"))
+    kept = vectors.select("host", *(F.when(often, F.col(c)).alias(c) for c in ("code", "v1", "v2")), "is_text", F.when(~often, F.col("slot")).alias("slot"), "size", F.explode(F.when(often, none).otherwise(F.array_distinct(F.array("l1", "l2")))).alias("layout"))
+    kept = saved(kept.where("code IS NOT NULL OR slot IS NOT NULL").groupBy("host", "code", "v1", "v2", "is_text", "layout", "slot").agg(F.sum("size").alias("size")))
+    shared = kept.where("code IS NOT NULL").select("host", "code", "v1", "v2", "is_text")
+    classes = shared.groupBy("host", "v1", "v2").agg(F.max(~F.col("is_text")).alias("fixed"))
+    texts = shared.where("is_text").join(classes, ["host", "v1", "v2"]).select("host", "code", "fixed")
+    layouts = shared.where("NOT is_text").select("host", F.col("code").alias("layout"))
+    slots = kept.where("code IS NULL").groupBy("host", "layout").agg(F.max_by("slot", F.struct("size", "slot")).alias("slot")).join(layouts, ["host", "layout"], "left_semi")
+    on_page = each.where("is_text").select("host", "page", "code").join(texts, ["host", "code"]).groupBy("host", "page").agg(F.collect_list("code").alias("texts"), F.collect_list(F.when(F.col("fixed"), F.col("code"))).alias("fixed"))
+    return t.select("host", "page", "layout").join(slots, ["host", "layout"], "left").join(on_page, ["host", "page"], "left").drop("layout")
+
+
+def _inside(path: str, main: str, slot: int, known: dict) -> bool:
+    """Whether a block is in the slot: its main element, or an element at or above its path, has that code."""
+    key = (path, main)
+    if key not in known:
+        at, found = path, bool(main) and _code(main) == slot
+        while at and not found:
+            found = _code(at) == slot
+            at = at.rpartition("/")[0]
+        known[key] = found or (not at and _code("") == slot)
+    return known[key]
+
+
+def extract(page: str | None, texts: frozenset | set = frozenset(), slot: int | None = None, fixed: frozenset | set = frozenset()) -> str:
+    """The main text of one page, given its shared texts, its layout's slot and the texts that come with the layout."""
     if not page:
         return ""
     blocks, _ = read(page)
     good = [b for b in blocks if not b.bad]
-    chosen = [b for b in good if b.main]
+    chosen = []
+    if slot is not None:
+        known: dict = {}
+        chosen = [b for b in good if _inside(b.path, b.main, slot, known) and (b.main or b.linked * 2 < max(1, len(b.text)))]
+        chosen = [b for b in chosen if not (fixed and _code(b.path + "\0" + b.text) in fixed)] or chosen
+    if not chosen:
+        chosen = [b for b in good if b.main]
+        chosen = [b for b in chosen if not (fixed and _code(b.path + "\0" + b.text) in fixed)] or chosen
     if not chosen:
-        good = [b for b in good if not (texts and _code(b.path + "\0" + b.text) in texts) and b.linked * 2 < max(1, len(b.text))]
-        chosen = [b for b in good if slot and b.path.startswith(slot.rpartition("/")[0] or slot)]
-        if not chosen and good:
-            weight: dict = {}
-            for b in good:
-                above = b.path.rpartition("/")[0]
-                weight[above] = weight.get(above, 0) + len(b.text)
+        good = [b for b in good if b.linked * 2 < max(1, len(b.text))]
+        own = [b for b in good if not (texts and _code(b.path + "\0" + b.text) in texts)]
+        good = own or good
+        weight: dict = {}
+        for b in good:
+            above = b.path.rpartition("/")[0]
+            weight[above] = weight.get(above, 0) + len(b.text)
+        if weight:
             top = max(weight, key=lambda k: (weight[k], k))
-            chosen = [b for b in good if b.path.startswith(top)]
+            chosen = [b for b in good if (b.path + "/").startswith(top + "/")]
     kept = []
     for b in chosen:
         if "/header~" in b.path and b.path.rpartition("/")[2].split(".")[0] not in HEADINGS:
@@ -223,26 +265,18 @@ def extract(page: str | None, texts: frozenset | set = frozenset(), slot: str |
 
 
 def with_main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """pages with host and main_text. Hosts' templates are joined by host; a very large host's pages are split."""
-    base = pages.drop("host", "main_text", "_texts", "_slot", "_salt").withColumn("host", host_of(F.col(url)))
-    found = templates(base.select("host", F.xxhash64(url, html).alias("page"), F.col(html).alias("html")).where("html IS NOT NULL"))
-    spread = found.select("host", F.col("texts").alias("_texts"), F.col("slot").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    joined = base.withColumn("_salt", F.pmod(F.xxhash64(url, html), F.lit(SALTS)).cast("int")).join(spread, ["host", "_salt"], "left")
+    """pages with host and main_text. Pages meet what their host's template says of them by host and code of html."""
+    base = pages.drop("host", "main_text", "_page", "_texts", "_slot", "_fixed").withColumn("host", host_of(F.col(url))).withColumn("_page", F.xxhash64(html))
+    found = templates(base.select("host", F.col("_page").alias("page"), F.col(html).alias("html")))
+    joined = base.join(found.select("host", *(F.col(c).alias("_" + c) for c in ("page", "texts", "slot", "fixed"))), ["host", "_page"], "left")
 
     def run(batches):
-        known: dict = {}
         for b in batches:
-            out = []
-            for host, text, texts, slot in zip(*(b.column(k).to_pylist() for k in ("host", html, "_texts", "_slot")), strict=True):
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host] = frozenset(texts or ())
-                out.append(extract(text, known[host], slot))
+            out = [extract(text, frozenset(texts or ()), slot, frozenset(fixed or ())) for text, texts, slot, fixed in zip(*(b.column(k).to_pylist() for k in (html, "_texts", "_slot", "_fixed")), strict=True)]
             keep = [c for c in b.schema.names if not c.startswith("_")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "main_text"])
 
-    return joined.mapInArrow(run, plus(joined.drop("_texts", "_slot", "_salt"), main_text="string"))
+    return joined.mapInArrow(run, plus(joined.drop("_page", "_texts", "_slot", "_fixed"), main_text="string"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,17 @@ def test_html_template(spark):
     assert html.with_main_text(df.where("false")).count() == 0
 
 
+def test_html_template_inside_articles(spark):
+    """The template decides on pages with an article too: its slot wins over a teaser's tag, and shared text inside goes."""
+    own = [" ".join(f"w{k * 50 + j}" for j in range(40)) for k in range(8)]
+    rows = [(f"http://a.example/{k}", f"<body><article><h1>T{k}</h1><p>{own[k]}</p><p>Shared line of all articles</p></article></body>", f"T{k}\n\n{own[k]}") for k in range(4)]
+    rows += [(f"http://b.example/{k}", f"<body><article><p>teaser {k}</p></article><div id=x1><p>{own[k]}</p></div></body>", own[k]) for k in range(4)]
+    # copies of one passage on other pages of the layout are no template
+    rows += [(f"http://c.example/{k}", f"<body><article><p>{own[k]}</p>{'<p>a copied passage</p>' if k < 3 else ''}</article></body>", own[k] + ("\n\na copied passage" if k < 3 else "")) for k in range(8)]
+    got = {r.url: r.main_text for r in html.with_main_text(spark.createDataFrame([r[:2] for r in rows], "url string, html string")).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_html_whole_table(spark):
     got = {r.page_id: r for r in html.op2_html_text(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
