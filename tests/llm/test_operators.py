@@ -83,6 +83,19 @@ def test_html_template_inside_articles(spark):
     assert got == {r[0]: r[2] for r in rows}
 
 
+def test_html_layouts_and_many_texts(spark):
+    own = [" ".join(f"w{k * 50 + j}" for j in range(40)) for k in range(20)]
+    rows = []
+    for k in range(12):  # three layouts of a third of the pages each; a small block under another layout's path
+        name = "abc"[k % 3]
+        rows.append((f"http://l.example/{k}", f"<body><div id=b{name}><span>x</span><p>Note of layout {name}</p></div><div id=s{name}><p>{own[k]}</p></div>{'<div id=sa><p>small ' + str(k) + '</p></div>' if name == 'b' else ''}</body>", own[k]))
+    many = "".join(f"<div id=n{j}><p>Notice number {j}</p></div>" for j in range(600))
+    rows += [(f"http://m.example/{k}", f"<body>{many}<div id=z><p>{own[k]}</p></div></body>", own[k]) for k in range(3)]
+    rows += [(f"http://d.example/{k}", "<body><div id=q><p>The same words</p><p>on equal pages</p></div></body>", "The same words\n\non equal pages") for k in range(4)]
+    got = {r.url: r.main_text for r in html.with_main_text(spark.createDataFrame([r[:2] for r in rows], "url string, html string")).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_html_whole_table(spark):
     got = {r.page_id: r for r in html.op2_html_text(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
