@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..functions.patterns import ABUSE_CATEGORIES, KEYWORDS, SCANNING
-from ..sources.derived import ACCESS_LOG, REPUTATION_RAW
-from .queries import LOW
+from ..sources.derived import ACCESS_LOG, REPUTATION_ALL, REPUTATION_RAW
+from .queries import FULL, LOW
 
 LINE = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d+) (\S+)( "([^"]*)" "([^"]*)")?'
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -139,4 +139,4 @@ def oracle_sql() -> dict[str, str]:
         "errors_by_path": sql("SELECT path, count(*) AS requests, count(*) FILTER (status BETWEEN 400 AND 499) AS client_errors, count(*) FILTER (status >= 500) AS server_errors FROM e GROUP BY path"),
         "requests_over_time": sql("SELECT date_trunc('minute', ts) AS start, count(*) AS requests, count(*) FILTER (status >= 400) AS errors FROM e GROUP BY 1"),
     }
-    return out
+    return out | {f"{name}_full": out[name].replace(REPUTATION_RAW, REPUTATION_ALL) for name in FULL if name in out}

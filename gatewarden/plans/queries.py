@@ -94,6 +94,17 @@ class Tables:
         return self._once("scored", lambda: score.composite_risk(enrich.enrich_findings(self.findings, self.latest)))
 
 
+class FullTables(Tables):
+    """With reputation of all addresses (REPUTATION_ALL); the lines are shared with Tables."""
+
+    def _once(self, name: str, build) -> DataFrame:
+        return super()._once(name if name in ("access_log", "parsed") else name + "_full", build)
+
+    @property
+    def raw(self):
+        return self._once("reputation_raw", lambda: derived.reputation_raw(self.spark, self.sf_dir, derived.REPUTATION_ALL))
+
+
 def _log_files(t: Tables) -> str:
     """The derived log written as text, for the operators that read files."""
     path = os.path.join(shared_folder(t.spark), "logs-" + uuid.uuid4().hex)
@@ -219,6 +230,10 @@ QUERIES = {
     "requests_over_time": lambda t: traffic.requests_over_time(t.entries),
 }
 
+#: The queries over reputation, again over the reputation of all addresses.
+FULL = ["attach_country", "rapid_geographic_changes", "high_risk_country_activity", "impossible_travel", "all_findings", "normalize_abuseipdb", "normalize_virustotal", "latest_reputation", "enrich_findings", "malicious_findings", "unenriched_findings", "enrichment_stats", "composite_risk", "requests_by_country"]
+QUERIES |= {f"{name}_full": (lambda t, build=QUERIES[name]: build(FullTables(t.spark, t.sf_dir))) for name in FULL}
+
 
 def _query(build):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,9 @@ SELECT ip, CASE WHEN event_id % 40 = 7 THEN 'abuseipdb' ELSE 'virustotal' END AS
       || ',"last_analysis_stats":{{"malicious":' || CAST(k % 4 AS VARCHAR) || ',"suspicious":' || CAST(k % 3 AS VARCHAR) || ',"harmless":' || CAST(k % 30 AS VARCHAR) || ',"undetected":' || CAST(k % 7 AS VARCHAR) || '}}}}}}}}' END AS body
 FROM h WHERE event_id % 20 = 7"""
 
+#: The same payloads from all events: the last one of each address, provider and second, so hot addresses are covered.
+REPUTATION_ALL = REPUTATION_RAW.replace("event_id % 40 = 7", "event_id % 2 = 1").replace("FROM h WHERE event_id % 20 = 7", "FROM (SELECT ip, ipn, sec, max(event_id) AS event_id, max_by(k, event_id) AS k, max_by(cc, event_id) AS cc FROM h GROUP BY ip, ipn, sec, event_id % 2) AS w")
+
 
 def _spark_sql(sql: str) -> str:
     return sql.replace("json_extract_string(", "get_json_object(").replace("epoch_us(ts)", "unix_micros(CAST(ts AS TIMESTAMP))").replace("VARCHAR", "STRING").replace("FROM events)", "FROM gatewarden_events)")
@@ -63,6 +66,6 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, ACCESS_LOG)
 
 
-def reputation_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reputation_raw(spark: SparkSession, sf_dir: str, sql: str = REPUTATION_RAW) -> DataFrame:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return _run(spark, sf_dir, REPUTATION_RAW).withColumn("query_ts", F.timestamp_add("SECOND", F.col("query_sec").cast("int"), start))
+    return _run(spark, sf_dir, sql).withColumn("query_ts", F.timestamp_add("SECOND", F.col("query_sec").cast("int"), start))
