@@ -229,9 +229,33 @@ QUERIES = {
     "errors_by_path": lambda t: traffic.errors_by_path(t.entries),
     "requests_over_time": lambda t: traffic.requests_over_time(t.entries),
 }
+#: What tells the findings of all detectors apart.
+KEYS = ("detector", "finding_type", "pattern_type", "ip", "country", "window", "risk_score", "ref_file", "ref_line", "details")
+
+
+def _all_enriched(t: Tables) -> DataFrame:
+    """Findings of all detectors with the answers of all providers."""
+    r = F.col("reputation")
+    scores = [r[p][c].alias(f"{p}_{c}") for p in enrich.PROVIDERS for c in ("confidence_score", "is_malicious", "country_code")]
+    return enrich.enrich_findings(t.findings, t.latest).select(*KEYS, "providers_queried", "providers_successful", "providers_failed", *scores)
+
+
+def _all_written(t: Tables) -> DataFrame:
+    """The findings of all detectors, written whole and read back."""
+    path = os.path.join(shared_folder(t.spark), "findings-" + uuid.uuid4().hex)
+    logs.write_findings(t.findings, path)
+    return t.spark.read.parquet(path)
+
+
+QUERIES |= {
+    "enrich_all_findings": _all_enriched,
+    "malicious_all_findings": lambda t: enrich.malicious_findings(t.findings, t.latest).select(*KEYS),
+    "unenriched_all_findings": lambda t: enrich.unenriched_findings(t.findings, t.latest).select(*KEYS),
+    "write_all_findings": _all_written,
+}
 
 #: The queries over reputation, again over the reputation of all addresses.
-FULL = ["attach_country", "rapid_geographic_changes", "high_risk_country_activity", "impossible_travel", "all_findings", "normalize_abuseipdb", "normalize_virustotal", "latest_reputation", "enrich_findings", "malicious_findings", "unenriched_findings", "enrichment_stats", "composite_risk", "requests_by_country"]
+FULL = ["attach_country", "rapid_geographic_changes", "high_risk_country_activity", "impossible_travel", "all_findings", "normalize_abuseipdb", "normalize_virustotal", "latest_reputation", "enrich_findings", "malicious_findings", "unenriched_findings", "enrich_all_findings", "malicious_all_findings", "enrichment_stats", "composite_risk", "requests_by_country"]
 QUERIES |= {f"{name}_full": (lambda t, build=QUERIES[name]: build(FullTables(t.spark, t.sf_dir))) for name in FULL}
 
 
