@@ -16,10 +16,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id. Rows without an id stay."""
-    kept = jaccard.near_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near duplicates stays: that with the smallest doc_id, null last, then the smallest row key.
+
+    The key is a code of all columns, so rows without an id or with a shared one are grouped by their own texts;
+    rows equal in all columns are one.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("rank"))
+    classes = jaccard.near_classes(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    kept = classes.join(ids, "_row").groupBy("component_id").agg(F.min("rank")["_row"].alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,3 +17,31 @@ def test_stages(spark):
             assert 0 < docs.count() <= before
             before = docs.count()
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} and docs.where("length > 4096").count() == 0
+
+
+def test_one_row_of_each_group(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gatewarden.llm import jaccard, stages
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(4)]
+    near = texts[0].split()
+    near[100] = "changed"
+    rows = [(2, texts[0]), (1, " ".join(near)), (None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[3]), (9, ""), (None, None), (4, "short")]
+    docs = spark.createDataFrame([(k, x, "en" if n != 4 else "de") for n, (k, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    group = {0: "a", 1: "a", 2: "a", 3: "b", 4: "b", 5: "c", 6: "d", 7: "d"}
+    want: dict = {}
+    for n, (k, x) in enumerate(rows):
+        g = group.get(n, n)
+        want[g] = min(want.get(g, (True, 0, "")), (k is None, k or 0, x or "")) if g in want else (k is None, k or 0, x or "")
+    got = stages.keep_one_of_each_group(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect()) == sorted(want.values())
+    # on the given table each class of near duplicates keeps one row
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    given = given.unionByName(given.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    classes = jaccard.near_classes(given.withColumn("key", F.xxhash64(*given.columns)), id_col="key").select("component_id").distinct().count()
+    assert stages.keep_one_of_each_group(spark, given, SF).count() == classes
