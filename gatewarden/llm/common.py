@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -13,15 +16,30 @@ from pyspark.sql import types as T
 U64 = np.uint64
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held several times over.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def tuned(spark: SparkSession) -> None:
-    """Smaller Arrow batches, where the session has Spark's default."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Smaller Arrow batches, where the session has Spark's defaults."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if int(spark.conf.get(size, str(2**31 - 1)).rstrip("bB")) > 1 << 28:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
+def released(run):
+    """run, a function of Arrow batches, that gives what it has freed back to the system at its end: workers are
+    kept for later stages, and what one stage held would stand beside what the next one needs."""
+
+    def again(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return again
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where it is unset and all tasks run here."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gatewarden-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -97,7 +117,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 16)
-        if n > 1 << 22:  # for one very long text: not kept
+        if n > 1 << 20:  # for one long text: not kept
             return _power_pair(n)
         _powers.clear()
         _powers.extend(_power_pair(size))
