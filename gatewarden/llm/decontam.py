@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, lower_ascii, plus, prefix_code, span_codes, table, utf8, word_spans
+from .common import U64, blocks, lower_ascii, plus, prefix_code, released, span_codes, table, utf8, word_spans
 
 WINDOW, PHRASES, SHARD, SAMPLE = 10, 500_000, 2 << 20, 8
 _WORD = np.zeros(256, bool)
@@ -212,7 +212,7 @@ def _pass(documents: DataFrame, text: str, block, first_pass: bool) -> DataFrame
             )
 
     schema = plus(documents.drop("n_words", "hit_words", "items"), n_words="long", hit_words="array<struct<start: long, end: long>>", items="array<string>")
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(released(run), schema)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -249,7 +249,7 @@ def without_hits(found: DataFrame, text: str = "text") -> DataFrame:
             columns[at] = pa.array(column, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    cut = found.mapInArrow(run, found.schema)
+    cut = found.mapInArrow(released(run), found.schema)
     return cut.withColumn("n_chars", F.char_length(text).cast("long")) if "n_chars" in found.columns else cut
 
 

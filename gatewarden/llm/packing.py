@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import released, saved, table
 
 WINDOW, CLOSE, STEP, DEPTH = 4096, 2, 16, 3
 TOKENIZER = "word_bpe_49k.json"
@@ -45,7 +45,7 @@ class WordEncoder:
     #: The tokenizer's own split for such texts.
     WORDS = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\w\s]|_)+")
     #: Pieces between white space that are kept once encoded.
-    MOST = 300_000
+    MOST = 150_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -105,7 +105,7 @@ def tokenised(documents: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array([len(x) // 2 for x in raw], pa.int64()), pa.array([pack.compress(x) for x in raw], pa.binary())], names=["rid", "doc_id", "n", "ids"])
 
     slim = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"rid long, doc_id {slim.schema['doc_id'].dataType.simpleString()}, n long, ids binary")
+    return slim.mapInArrow(released(run), f"rid long, doc_id {slim.schema['doc_id'].dataType.simpleString()}, n long, ids binary")
 
 
 def combinations(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -223,7 +223,7 @@ def packed(documents: DataFrame, path: str | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.join(where, "rid").select("doc_id", "n", "ids", "head", "pieces").mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return tokens.join(where, "rid").select("doc_id", "n", "ids", "head", "pieces").mapInArrow(released(cut), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Each text is read as UTF-8 bytes. Learned filters of 8 bytes, placed every 4 byt
 chunks of 512 bytes that cover the whole document; each filter's largest response in a chunk is kept, the
 chunks' features are averaged and a logistic layer gives one probability.
 
-Defined results: a null or empty text is one chunk of padding and gets that chunk's probability; repeated
-rows and clashing extra columns are kept as they are; an empty training set gives 0.5 for all.
+Defined results: a null or empty text is one chunk of padding and gets that chunk's probability; repeated rows are
+scored each, alike; extra columns stay, and one named like the score is replaced; an empty training set gives 0.5
+for all; an empty table gives an empty table. A very long text is cut into blocks of chunks like any other.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, table, utf8
+from .common import plus, released, table, utf8
 
 WIDTH, STRIDE, CHUNK, HOP, DIM, FILTERS = 8, 4, 512, 448, 6, 16
 PER_CHUNK = (CHUNK - WIDTH) // STRIDE + 1
 #: Bounds of the training sample: rows, and bytes of a row that may be in it.
 TRAIN_ROWS, TRAIN_ROW_BYTES = 3000, 20_000
-BLOCK_CHUNKS = 2048
+#: Chunks scored at once: about 4 MB of windows.
+BLOCK_CHUNKS = 128
 
 
 @dataclass
@@ -157,7 +159,7 @@ def with_quality(documents: DataFrame, net: Net, text: str = "text", score: str
             data, offsets = utf8(b.column(text))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_rows(net, data, offsets), pa.float64())], names=[*b.schema.names, score])
 
-    return documents.mapInArrow(run, plus(documents, **{score: "double"}))
+    return documents.mapInArrow(released(run), plus(documents, **{score: "double"}))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
