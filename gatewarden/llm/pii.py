@@ -1,14 +1,17 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
-Base spans (email, ip, card, phone) follow fixed rules. Beyond them, candidate spans (long mixed tokens, phone
-numbers without a country code) are judged: regex, gazetteer and context labelers vote yes, no or nothing;
-expectation-maximisation estimates each labeler's reliability from how often each pattern of votes occurs (a
-table of at most 3**5 rows a kind, the only thing that leaves the executors); the resulting probabilities
-train a logistic span classifier over the votes and the span's length, which is applied as an expression.
-
-Defined results: null and empty texts have no spans; overlapping added spans of a base span are dropped;
-repeated rows are judged alike; extra columns stay, and those named like a result are replaced; with no
-candidate at all the classifier says no.
+Base spans (email, ip, card, phone) follow fixed rules. Beyond them, candidate spans are judged: long mixed tokens
+(secrets), phone numbers without a country code, runs of capitalised words (persons) and account or identity numbers.
+Candidates that overlap a base span go first. Five regex, gazetteer and context labelers of each kind vote yes, no or
+nothing, often against each other; expectation-maximisation estimates each labeler's reliability from how often each
+pattern of votes occurs (a table of at most 3**5 patterns and 21 lengths a kind, the only thing that leaves the
+executors); the resulting probabilities train a logistic span classifier over the votes and the span's length, which
+is applied as an expression.
+
+Defined results: null and empty texts have no spans; of added spans that overlap, the kind listed first stays;
+repeated rows are judged alike; extra columns stay, and those named like a result are replaced; with no candidate at
+all the classifier says no; an empty table gives an empty table. Work grows with the length of a text, and, as its
+matches are appended to one array, with the square of the matches of one kind in one text.
 """
 
 from __future__ import annotations
@@ -21,34 +24,60 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KINDS = ["email", "ip", "card", "phone", "secret", "local_phone"]
+KINDS = ["email", "ip", "card", "phone", "secret", "local_phone", "person", "account"]
 BASE = KINDS[:4]
+SECRET_KIND, LOCAL_KIND, PERSON_KIND, ACCOUNT_KIND = ADDED = (4, 5, 6, 7)
 # Fixed patterns of the base kinds, written so that no part is tried twice over one run of characters.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 DIGIT_RUN = r"[0-9][0-9 -]{10,}[0-9]"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
+# Patterns of the candidates.
 SECRET = r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[0-9A-Za-z_-]{16,}+"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+PERSON = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{1,20}(?: \p{Lu}\.| \p{Lu}\p{Ll}{1,20}){1,3}+(?![\p{L}\p{N}])"
+ACCOUNT = r"(?<![0-9A-Za-z+.-])(?:[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}+(?: ?[0-9A-Z]{1,3})?+|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{1,2}[0-9]{6,9}|[0-9]{8,11})(?![0-9A-Za-z-])"
 # Fixed word lists of the gazetteer and context labelers.
 SECRET_WORDS = ["token", "secret", "password", "passwd", "apikey", "api_key", "access_key", "bearer", "key", "auth"]
 PHONE_WORDS = ["tel", "phone", "call", "mobile", "cell", "fax", "contact", "telefon", "anruf"]
+NAME_WORDS = ["name", "named", "called", "signed", "by", "dear", "contact", "author", "patient", "employee", "customer", "resident", "sincerely", "regards"]
+PLACE_WORDS = ["in", "at", "near", "the", "to", "of", "from", "on"]
+ACCOUNT_WORDS = ["account", "acct", "iban", "konto", "kontonummer", "ssn", "social security", "passport", "ausweis", "tax id", "license", "member"]
+NUMBER_WORDS = ["isbn", "issn", "doi", "order", "invoice", "version", "article", "issue", "page", "ticket", "build", "item", "sku"]
+GIVEN = [
+    "Adam", "Alice", "Amy", "Andrea", "Andrew", "Anna", "Anne", "Antonio", "Barbara", "Brian", "Carlos", "Carol", "Charles", "Chris", "Claire", "Daniel", "David", "Diana", "Edward",
+    "Elena", "Elizabeth", "Emily", "Emma", "Eric", "Eva", "Fatima", "Frank", "George", "Hans", "Helen", "Henry", "Jack", "James", "Jane", "Jean", "Jennifer", "Jessica", "John", "Jose",
+    "Joseph", "Juan", "Julia", "Karen", "Karl", "Kevin", "Laura", "Linda", "Lisa", "Lucy", "Luis", "Maria", "Marie", "Mark", "Martin", "Mary", "Michael", "Mohammed", "Nancy", "Olivia",
+    "Patricia", "Paul", "Peter", "Pierre", "Rachel", "Richard", "Robert", "Rosa", "Sarah", "Sofia", "Stephen", "Susan", "Thomas", "Wei", "William",
+]
+NOT_NAMES = [
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday",
+    "Saturday", "Sunday", "The", "United", "National", "New", "North", "South", "East", "West", "University", "College", "Street", "Avenue", "Road", "Park", "River", "Lake", "Mount", "City",
+    "County", "Company", "Corporation", "Institute", "Museum", "Bank", "Court", "Church", "Bridge", "Island", "Airport", "Station", "Chapter", "Table", "Figure", "Section", "Version",
+]
 LABELERS = 5
 #: Added spans need at least this probability.
 LEAST = 0.9
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """array<struct<start, text>> of the leftmost non-overlapping matches; starts in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, text: string>>").alias("out"))
+def find_all(text: Column, pattern: str, context: bool = False) -> Column:
+    """array<struct<start, text>> of the leftmost non-overlapping matches, starts in code points; with context also
+    up to 32 characters before and 16 after, as far as the next match."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+    fields = "start: int, text: string" + (", before: string, after: string" if context else "")
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
+
+    def one(acc, x):
+        around = [F.substring(x["gap"], -32, 32).alias("before"), F.substring(F.coalesce(x["next"], F.lit("")), 1, 16).alias("after")] if context else []
+        return F.struct((acc["at"] + F.char_length(x["gap"])).alias("start"), x["hit"].alias("text"), *around)
+
     walked = F.aggregate(
         pairs,
         empty,
         lambda acc, x: F.struct(
             (acc["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct((acc["at"] + F.char_length(x["gap"])).alias("start"), x["hit"].alias("text")))).alias("out"),
+            F.when(x["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one(acc, x))).alias("out"),
         ),
     )
     return F.when(F.size(found) > 0, walked["out"]).otherwise(empty["out"])
@@ -100,26 +129,77 @@ def _named(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.char_length(x["text"])).alias("end"), x["text"].alias("text")))
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, kind, end, text, before, after>> of what the labelers judge."""
-    none = F.array().cast("array<struct<start: int, text: string>>")
+def candidates(text: Column, base: Column) -> Column:
+    """array<struct<start, kind, end, text, before, after>> of what the labelers judge: what overlaps no base span."""
+    none = F.array().cast("array<struct<start: int, text: string, before: string, after: string>>")
     digit = text.rlike("[0-9]")
-    both = F.concat(_named(F.when(digit, find_all(text, SECRET)).otherwise(none), 4), _named(F.when(digit, find_all(text, LOCAL_PHONE)).otherwise(none), 5))
-    return F.transform(both, lambda x: F.struct(*(x[k].alias(k) for k in ("start", "kind", "end", "text")), F.lower(F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))).alias("before"), F.substring(text, x["end"] + 1, F.lit(2)).alias("after")))
+    found = {SECRET_KIND: (SECRET, digit), LOCAL_KIND: (LOCAL_PHONE, digit), PERSON_KIND: (PERSON, text.rlike(r"\p{Lu}")), ACCOUNT_KIND: (ACCOUNT, digit)}
+    def of(kind: int, pattern: str, worth: Column) -> Column:
+        hits = F.when(worth, find_all(text, pattern, True)).otherwise(none)
+        return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.char_length(x["text"])).alias("end"), x["text"].alias("text"), x["before"].alias("before"), x["after"].alias("after")))
+
+    spans = [of(kind, pattern, worth) for kind, (pattern, worth) in found.items()]
+    return F.filter(F.concat(*spans), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+
+
+def _words(before: Column, names: list[str]) -> Column:
+    return F.lower(before).rlike(r"\b(?:" + "|".join(names) + r")\b")
+
+
+def _near(before: Column, names: list[str]) -> Column:
+    """One of the words stands just before."""
+    return F.lower(before).rlike(r"\b(?:" + "|".join(names) + r")[ :,.]{1,3}$")
+
+
+def _iban(t: Column) -> Column:
+    """The check digits of an IBAN are right: as a number, letters as 10 to 35, first four last, it is 1 modulo 97."""
+    plain = F.replace(t, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda acc, c: (F.when(value(c) > 9, acc * 100).otherwise(acc * 10) + value(c)) % 97) == 1
 
 
 def votes(c: Column) -> Column:
-    """Five votes of 1 (yes), -1 (no) or 0 (nothing) on a candidate."""
-    t, secret = c["text"], c["kind"] == 4
+    """Five votes of 1 (yes), -1 (no) or 0 (nothing) on a candidate, by the labelers of its kind."""
+    t, before, after = c["text"], c["before"], c["after"]
     letters, digits = F.char_length(F.regexp_replace(t, "[^A-Za-z]", "")), F.char_length(_digits(t))
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
-    shape = vote(F.when(secret, t.rlike("^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?:AKIA|ghp_|sk-)[0-9A-Za-z_-]{12,})$")).otherwise(t.rlike(r"^\([0-9]{3}\)|^[2-9][0-9]{2}[.-]")), F.when(secret, t.rlike("^[A-Za-z]+[0-9]{1,2}$|[_-]{2}")).otherwise(t.rlike("^0{3}|0{4}$")))
-    words = lambda names: c["before"].rlike(r"\b(?:" + "|".join(names) + r")\b")
-    gazetteer = vote(F.when(secret, words(SECRET_WORDS)).otherwise(words(PHONE_WORDS)), F.when(secret, words(["isbn", "doi", "version", "commit", "sha", "file"])).otherwise(words(["isbn", "version", "order", "part", "no"])))
-    context = vote(F.when(secret, c["before"].rlike("[=:]\\s*[\"']?$")).otherwise(c["before"].rlike(":\\s*$")), c["before"].rlike("[/#.]$"))
-    mixture = vote(F.when(secret, (digits >= 4) & (letters >= 4)).otherwise(digits == 10), F.when(secret, (digits < 2) | (letters < 2)).otherwise(digits != 10))
-    quotes = vote(c["before"].rlike("[\"']$") & c["after"].rlike("^[\"']"), c["after"].rlike("^[/@.][A-Za-z]"))
-    return F.array(shape, gazetteer, context, mixture, quotes)
+    first = F.substring_index(t, " ", 1)
+    iban = t.rlike("^[A-Z]{2}[0-9]{2}.{11,}")
+    labelers = {
+        SECRET_KIND: [
+            vote(t.rlike("^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?:AKIA|ghp_|sk-)[0-9A-Za-z_-]{12,})$"), t.rlike("^[A-Za-z]+[0-9]{1,2}$|[_-]{2}")),
+            vote(_words(before, SECRET_WORDS), _words(before, ["isbn", "doi", "version", "commit", "sha", "file"])),
+            vote(before.rlike("[=:]\\s*[\"']?$"), before.rlike("[/#.]$")),
+            vote((digits >= 4) & (letters >= 4), (digits < 2) | (letters < 2)),
+            vote(before.rlike("[\"']$") & after.rlike("^[\"']"), after.rlike("^[/@.][A-Za-z]")),
+        ],
+        LOCAL_KIND: [
+            vote(t.rlike(r"^\([0-9]{3}\)|^[2-9][0-9]{2}[.-]"), t.rlike("^0{3}|0{4}$")),
+            vote(_words(before, PHONE_WORDS), _words(before, NUMBER_WORDS)),
+            vote(before.rlike(":\\s*$"), before.rlike("[/#.]$")),
+            vote(t.rlike(r"^\(?[2-9][0-9]{2}\D+[2-9]"), t.rlike(r"^\(?[01]")),
+            vote(after.rlike("^[.,;]?(?:\\s|$)"), after.rlike("^[/@.%][A-Za-z0-9]")),
+        ],
+        PERSON_KIND: [
+            vote(before.rlike(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Sir|Herr|Frau|Mme|Sra?)\.? $"), _near(before, PLACE_WORDS)),
+            vote(first.isin(*GIVEN), F.exists(F.split(t, " "), lambda w: w.isin(*NOT_NAMES))),
+            vote(_words(before, NAME_WORDS), before.rlike("(?:^|[.!?\\n])\\s*$")),
+            vote(after.rlike(r"^(?:,? (?:born|aged|lives|wrote|said|says|joined|who)\b| ?[<(]|, [0-9]{2}\b)"), after.rlike(r"^ (?:street|st|avenue|road|inc|ltd|gmbh|was built|opens|university|company)\b")),
+            vote(t.rlike(r" \p{Lu}\. |^\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}{3,}$"), F.size(F.split(t, " ")) > 3),
+        ],
+        ACCOUNT_KIND: [
+            vote(F.when(iban, _iban(t)).otherwise(t.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")), iban | t.rlike("^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:[0-2][0-9]|3[01])$")),
+            vote(_words(before, ACCOUNT_WORDS), _words(before, NUMBER_WORDS)),
+            vote(F.lower(before).rlike(r"(?::|\bno\.?|\bnr\.?|number|is)\s*$"), before.rlike("[#/$€=]\\s*$")),
+            vote(iban | t.rlike("-"), t.rlike("^[0-9]+0{4,}$")),
+            vote(after.rlike("^[.,;]?(?:\\s|$)") & before.rlike("\\s$"), after.rlike(r"^(?: ?(?:%|km|kg|ms|usd|eur|bytes|px|times|items)|[/.]\S)")),
+        ],
+    }
+    out = F.array(*(F.lit(0) for _ in range(LABELERS)))
+    for kind, own in labelers.items():
+        out = F.when(c["kind"] == kind, F.array(*own)).otherwise(out)
+    return out
 
 
 @dataclass
@@ -158,10 +238,12 @@ def expectation_maximisation(rows: list[tuple[list[int], float]], rounds: int =
 
 def train(documents: DataFrame, text: str = "text") -> Classifier:
     """Counts the vote patterns of all candidates of all texts, estimates and fits."""
-    cands = documents.select(F.explode(candidates(F.col(text))).alias("c"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    held = documents.select(t.alias("t"), base_spans(t).alias("base"))
+    cands = held.select(F.explode(candidates(F.col("t"), F.col("base"))).alias("c"))
     counted = cands.select(F.col("c.kind").alias("kind"), votes(F.col("c")).alias("v"), F.least(F.round(F.char_length(F.col("c.text")) / 32.0, 1), F.lit(2.0)).alias("size")).groupBy("kind", "v", "size").agg(F.count("*").alias("n")).collect()
     out = Classifier()
-    for kind in (4, 5):
+    for kind in ADDED:
         mine = sorted((list(r["v"]), float(r["size"]), r["n"]) for r in counted if r["kind"] == kind)
         patterns: dict = {}
         for v, _, n in mine:
@@ -190,17 +272,21 @@ def probability(c: Column, model: Classifier) -> Column:
         terms = F.aggregate(F.zip_with(v, F.array(*(F.struct(F.lit(w[1 + 2 * k]).alias("yes"), F.lit(w[2 + 2 * k]).alias("no")) for k in range(LABELERS))), lambda a, b: F.when(a == 1, b["yes"]).when(a == -1, b["no"]).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
         return F.lit(w[0]) + terms + size * w[-1]
 
-    return 1 / (1 + F.exp(-F.when(c["kind"] == 4, linear(model.weights[4])).otherwise(linear(model.weights[5]))))
+    odds = F.lit(-30.0)
+    for kind in ADDED:
+        odds = F.when(c["kind"] == kind, linear(model.weights[kind])).otherwise(odds)
+    return 1 / (1 + F.exp(-odds))
 
 
 def with_spans(documents: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """documents with base and spans (base and added), arrays of struct<start, kind, end, text>."""
     t = F.coalesce(F.col(text), F.lit(""))
     kept = documents.drop("base", "spans")
-    first = kept.withColumns({"base": F.array_sort(base_spans(t)), "_cands": candidates(t)})
-    clear = F.filter("_cands", lambda c: (probability(c, model) >= LEAST) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    added = F.transform(clear, lambda c: F.struct(*(c[k].alias(k) for k in ("start", "kind", "end", "text"))))
-    return first.withColumn("spans", F.array_sort(F.concat("base", added))).drop("_cands")
+    first = kept.withColumn("base", F.array_sort(base_spans(t))).withColumn("_cands", candidates(t, F.col("base")))
+    clear = F.filter("_cands", lambda c: probability(c, model) >= LEAST)
+    second = first.withColumn("_cands", F.transform(clear, lambda c: F.struct(*(c[k].alias(k) for k in ("start", "kind", "end", "text")))))
+    added = F.filter("_cands", lambda c: ~F.exists("_cands", lambda d: (d["kind"] < c["kind"]) & (d["start"] < c["end"]) & (c["start"] < d["end"])))
+    return second.withColumn("spans", F.array_sort(F.concat("base", added))).drop("_cands")
 
 
 def span_list(spans: Column) -> Column:
