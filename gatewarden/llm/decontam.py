@@ -6,8 +6,9 @@ as no phrase can reach over them. Over this sequence the shard builds a suffix a
 transform as a wavelet matrix and sampled suffix positions. All phrases are searched backwards at once,
 occurrences are located from the samples, and the hit words are merged into removal spans.
 
-Phrases are dealt into blocks of at most PHRASES; each block is one pass over the documents, so what is
-broadcast has a fixed bound whatever the size of the benchmark.
+Phrases are written once and dealt into blocks of about PHRASES; each block is one pass over the documents, written
+before the next, whose block takes its place: the driver and every worker hold one block at a time, whatever the size
+of the benchmark. A shard is whole documents of up to SHARD bytes; a longer one is a shard of its own.
 
 Defined results: null, empty and word-free texts have no words and are clean; items without words have no
 window; an item of fewer than ten words is one window; a null item_id marks words but names no item; repeated
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, lower_ascii, plus, prefix_code, released, span_codes, table, utf8, word_spans
+from .common import U64, blocks, lower_ascii, plus, prefix_code, released, saved, span_codes, table, utf8, word_spans
 
-WINDOW, PHRASES, SHARD, SAMPLE = 10, 500_000, 2 << 20, 8
+WINDOW, PHRASES, SHARD, SAMPLE = 10, 200_000, 2 << 20, 8
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -217,14 +218,18 @@ def _pass(documents: DataFrame, text: str, block, first_pass: bool) -> DataFrame
 
 def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """documents with n_words, hit_words (merged spans, as word numbers) and items (ids of the items found)."""
-    phrases = phrases_of(benchmark)
+    phrases = saved(phrases_of(benchmark))
     n = phrases.count()
     n_blocks = max(1, -(-n // PHRASES))
     context = documents.sparkSession.sparkContext
     out = documents.drop("n_words", "hit_words", "items")
     for k in range(n_blocks):
         block = phrases.where(F.pmod(F.xxhash64("codes"), F.lit(n_blocks)) == k) if n_blocks > 1 else phrases
-        out = _pass(out, text, context.broadcast(Phrases(block.toPandas())), k == 0)
+        held = context.broadcast(Phrases(block.toPandas()))
+        out = _pass(out, text, held, k == 0)
+        if k + 1 < n_blocks:
+            out = saved(out)
+            held.destroy()
     return out
 
 
