@@ -21,6 +21,12 @@ def url_decode_text(c: Column) -> Column:
     return F.when(c.contains("%"), F.coalesce(F.try_url_decode(guarded), c)).otherwise(c)
 
 
+def title_case(c: Column) -> Column:
+    """Lower case, with a capital after everything that is no letter."""
+    pieces = F.split(F.lower(c), r"(?<=\P{L})|(?=\P{L})")
+    return F.array_join(F.transform(pieces, F.initcap), "")
+
+
 def request_path(request_line: Column) -> Column:
     """The path of the second token of a request line; null if there is none."""
     target = F.get(F.split(F.trim(request_line), r"\s+"), F.lit(1))

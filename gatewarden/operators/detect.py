@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import SCANNING
 from ..functions.text import seconds
 from ..params import DEFAULT, DetectorParams
-from .windows import positioned, window_counts, window_distinct
+from .windows import positioned, second_totals, window_counts, window_distinct, window_items, window_peaks
 
 REF = ("file_path", "line_number", "ts", "request_line", "status", "user_agent", "referer", "bytes_sent")
 INPUT = ("file_path", "line_number")  # input order
@@ -36,6 +36,11 @@ def _finding(df: DataFrame, finding_type, pattern_type: str, risk: Column, descr
     return df.select("ip", kind.alias("finding_type"), F.lit(pattern_type).alias("pattern_type"), _int(risk).alias("risk_score"), description.alias("description"), "ref", *keep)
 
 
+def _seconds_of(entries: DataFrame) -> DataFrame:
+    """What windows over whole seconds need of entries."""
+    return entries.select("ip", seconds(F.col("ts")).alias("sec"), F.when(F.expr(FAILED), 1).otherwise(0).alias("failed"))
+
+
 # -- frequency -----------------------------------------------------------------------------------------
 
 
@@ -59,7 +64,7 @@ def high_request_frequency(entries: DataFrame, p: DetectorParams = DEFAULT) -> D
 def sliding_window_stats(entries: DataFrame, windows: dict | None = None, p: DetectorParams = DEFAULT) -> DataFrame:
     """Per address and window: most requests and failed logins; per address: totals, distinct paths and agents."""
     windows = windows or {k: v[0] for k, v in p.windows.items()}
-    peaks = window_counts(positioned(entries), windows).groupBy("ip", "window").agg(F.max("requests").alias("max_requests"), F.max("flagged").alias("max_failed"))
+    peaks = window_peaks(_seconds_of(entries), windows).withColumnRenamed("max_flagged", "max_failed")
     totals = entries.groupBy("ip").agg(F.count("*").alias("total"), F.count_distinct("path").alias("paths"), F.count_distinct(F.when(F.col("user_agent") != "", F.col("user_agent"))).alias("agents"))
     return peaks.join(totals, "ip")
 
@@ -79,8 +84,8 @@ def _window_refs(entries: DataFrame, found: DataFrame, when: str | None) -> Data
 def time_windowed_brute_force(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
     least = _mapping({k: v[1] for k, v in p.windows.items()})
     hot = entries.where(FAILED).groupBy("ip").agg(F.count("*").alias("n")).where(F.col("n") >= min(v[1] for v in p.windows.values())).select("ip")
-    rows = positioned(entries.join(hot, "ip", "left_semi"))
-    got = window_counts(rows, {k: v[0] for k, v in p.windows.items()}).groupBy("ip", "window").agg(F.max("flagged").alias("max_failed")).where(F.col("max_failed") >= least[F.col("window")])
+    rows = _seconds_of(entries.join(hot, "ip", "left_semi"))
+    got = window_peaks(rows, {k: v[0] for k, v in p.windows.items()}).select("ip", "window", F.col("max_flagged").alias("max_failed")).where(F.col("max_failed") >= least[F.col("window")])
     m = F.col("max_failed")
     return _finding(_window_refs(entries, got, FAILED), F.concat(F.lit("Time-Windowed Brute Force ("), "window", F.lit(")")), "time_windowed_brute_force", F.least(85 + m * 2, F.lit(100)), F.concat(F.lit("Detected "), m, F.lit(" failed logins within "), "window", F.lit(" from IP "), "ip"), "window", "max_failed")
 
@@ -88,8 +93,8 @@ def time_windowed_brute_force(entries: DataFrame, p: DetectorParams = DEFAULT) -
 def request_burst_pattern(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
     least = _mapping({k: v[2] for k, v in p.windows.items()})
     hot = entries.groupBy("ip").agg(F.count("*").alias("n")).where(F.col("n") >= min(v[2] for v in p.windows.values())).select("ip")
-    rows = positioned(entries.join(hot, "ip", "left_semi"))
-    got = window_counts(rows, {k: v[0] for k, v in p.windows.items()}).groupBy("ip", "window").agg(F.max("requests").alias("max_requests")).withColumn("least", least[F.col("window")]).where("max_requests >= least")
+    rows = _seconds_of(entries.join(hot, "ip", "left_semi"))
+    got = window_peaks(rows, {k: v[0] for k, v in p.windows.items()}).select("ip", "window", "max_requests").withColumn("least", least[F.col("window")]).where("max_requests >= least")
     m = F.col("max_requests")
     return _finding(_window_refs(entries, got, None), F.concat(F.lit("Request Burst Pattern ("), "window", F.lit(")")), "time_windowed_burst", F.least(75 + F.floor((m - F.col("least")) / 10), F.lit(95)), F.concat(F.lit("Detected "), m, F.lit(" requests within "), "window", F.lit(" from IP "), "ip"), "window", "max_requests")
 
@@ -97,20 +102,36 @@ def request_burst_pattern(entries: DataFrame, p: DetectorParams = DEFAULT) -> Da
 # -- scanning ------------------------------------------------------------------------------------------
 
 
+def _many_paths(entries: DataFrame, p: DetectorParams) -> DataFrame:
+    """Addresses that can have such a window at all."""
+    return entries.groupBy("ip").agg(F.count_distinct("path").alias("d"), F.count("*").alias("n")).where((F.col("d") >= p.unique_paths_threshold) & (F.col("n") >= 10)).select("ip")
+
+
 def scan_periods(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
-    """Windows from every row with many distinct paths; sample of 20 paths in order."""
-    many = entries.groupBy("ip").agg(F.count_distinct("path").alias("d"), F.count("*").alias("n")).where((F.col("d") >= p.unique_paths_threshold) & (F.col("n") >= 10)).select("ip")
-    rows = positioned(entries.join(many, "ip", "left_semi"))
+    """Windows from every row with many distinct paths; sample_paths: the distinct ones of its first 20 requests."""
+    rows = positioned(entries.join(_many_paths(entries, p), "ip", "left_semi"))
     distinct = window_distinct(rows, p.scan_window, "path").where(F.col("n_distinct") >= p.unique_paths_threshold)
     counts = window_counts(rows.withColumn("has", F.col("path").isNotNull().cast("int")), {"scan": p.scan_window}, "has")
-    return distinct.join(counts.select("ip", "pos", F.col("flagged").alias("total_requests")), ["ip", "pos"]).select("ip", "sec", "pos", F.col("n_distinct").alias("unique_paths"), "total_requests")
+    found = distinct.join(counts.select("ip", "pos", F.col("flagged").alias("total_requests")), ["ip", "pos"]).select("ip", "sec", "pos", F.col("n_distinct").alias("unique_paths"), "total_requests")
+    return found.join(_first_paths(found, rows, p.scan_window), ["ip", "pos"])
+
+
+def _first_paths(found: DataFrame, rows: DataFrame, w: int, k: int = 20) -> DataFrame:
+    """ip, pos, sample_paths of found periods: the rows at the next k positions, dealt out by blocks of positions."""
+    block = lambda c: F.floor(F.col(c) / 1000)
+    near = rows.where("path IS NOT NULL").select("ip", F.col("pos").alias("q"), F.col("sec").alias("t"), "path").withColumn("block", F.explode(F.array_distinct(F.array(block("q"), F.floor((F.col("q") - (k - 1)) / 1000)))))
+    met = found.select("ip", "pos", "sec").withColumn("block", block("pos")).join(near, ["ip", "block"]).where((F.col("q") >= F.col("pos")) & (F.col("q") < F.col("pos") + k) & (F.col("t") <= F.col("sec") + w))
+    return met.groupBy("ip", "pos").agg(F.array_sort(F.collect_set("path")).alias("sample_paths"))
 
 
 def path_enumeration(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
-    periods = scan_periods(entries, p).groupBy("ip").agg(F.max("unique_paths").alias("max_paths"), F.count("*").alias("periods"))
-    paths = entries.select("ip", "path").where("path IS NOT NULL").distinct().withColumn("k", F.row_number().over(Window.partitionBy("ip").orderBy("path")))
-    sample = paths.groupBy("ip").agg(F.count("*").alias("total_paths"), F.sort_array(F.collect_list(F.when(F.col("k") <= 20, F.col("path")))).alias("sample_paths"))
-    g = periods.join(sample, "ip").join(entries.groupBy("ip").agg(_last(TIME)), "ip")
+    many = _many_paths(entries, p)
+    rows = positioned(entries.join(many, "ip", "left_semi"))
+    periods = window_distinct(rows, p.scan_window, "path").where(F.col("n_distinct") >= p.unique_paths_threshold).groupBy("ip").agg(F.max("n_distinct").alias("max_paths"), F.count("*").alias("periods"))
+    paths = entries.select("ip", "path").where("path IS NOT NULL").distinct()
+    # only the first 20 of each address are ordered
+    top = paths.withColumn("k", F.row_number().over(Window.partitionBy("ip").orderBy("path"))).where("k <= 20").groupBy("ip").agg(F.sort_array(F.collect_list("path")).alias("sample_paths"))
+    g = periods.join(paths.groupBy("ip").agg(F.count("*").alias("total_paths")), "ip").join(top, "ip").join(entries.groupBy("ip").agg(_last(TIME)), "ip")
     m = F.col("max_paths")
     return _finding(g, "Path Enumeration Scan", "path_enumeration", F.least(60 + m * 2, F.lit(90)), F.concat(F.lit("Detected scanning of "), m, F.lit(" unique paths from IP "), "ip"), "max_paths", "periods", "total_paths", "sample_paths")
 
@@ -126,8 +147,8 @@ def scanning_tool_signature(entries: DataFrame, p: DetectorParams = DEFAULT) ->
 
     found = F.array_compact(F.array(*(F.when(matches(q), F.struct(F.lit(q).alias("pattern"), F.lit(s).alias("score"))) for q, s in SCANNING)))
     rows = hit.withColumn("found", found).where("size(found) > 0")
-    g = rows.withColumn("x", F.explode("found")).groupBy("ip").agg(F.sort_array(F.collect_set("x.pattern")).alias("patterns"), F.count("*").alias("matches"), F.max("x.score").alias("max_score"), _last(TIME))
-    return _finding(g, "Scanning Tool Signature", "scanning_tool_signature", F.least(F.col("max_score") + 10, F.lit(95)), F.concat(F.lit("Detected scanning tool signatures from IP "), "ip", F.lit(": "), F.array_join(F.slice("patterns", 1, 3), ", ")), "patterns", "matches", "max_score")
+    g = rows.withColumn("x", F.explode("found")).groupBy("ip").agg(F.sort_array(F.collect_set("x.pattern")).alias("patterns"), F.sort_array(F.collect_set("x")).alias("scores"), F.count("*").alias("matches"), F.max("x.score").alias("max_score"), _last(TIME))
+    return _finding(g, "Scanning Tool Signature", "scanning_tool_signature", F.least(F.col("max_score") + 10, F.lit(95)), F.concat(F.lit("Detected scanning tool signatures from IP "), "ip", F.lit(": "), F.array_join(F.slice("patterns", 1, 3), ", ")), "patterns", "scores", "matches", "max_score")
 
 
 def vulnerability_scanning(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
@@ -142,14 +163,27 @@ def vulnerability_scanning(entries: DataFrame, p: DetectorParams = DEFAULT) -> D
 # -- behaviour -----------------------------------------------------------------------------------------
 
 
+def dos_burst_periods(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
+    """Every row from which one of the windows holds a burst: start, requests and duration."""
+    hot = entries.groupBy("ip").agg(F.count("*").alias("n")).where(F.col("n") >= p.dos_burst_threshold).select("ip")
+    size = _mapping(p.dos_windows)
+    found = window_counts(positioned(entries.join(hot, "ip", "left_semi")), p.dos_windows).where(F.col("requests") >= p.dos_burst_threshold)
+    return found.select("ip", "window", "sec", "pos", "requests", size[F.col("window")].alias("duration"))
+
+
 def dos_burst_pattern(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
-    """The smallest window that reaches the largest number of requests."""
+    """The smallest window that reaches the largest number of requests; burst_periods: rows that begin a burst of any
+    window (dos_burst_periods has them), from the counts of seconds: a second of n rows and a window of m have
+    min(n, m - threshold + 1) of them."""
     hot = entries.groupBy("ip").agg(F.count("*").alias("n")).where(F.col("n") >= p.dos_burst_threshold).select("ip")
-    peaks = window_counts(positioned(entries.join(hot, "ip", "left_semi")), p.dos_windows).groupBy("ip", "window").agg(F.max("requests").alias("m"))
+    rows = _seconds_of(entries.join(hot, "ip", "left_semi"))
+    own = rows.groupBy("ip", "sec").agg(F.count("*").alias("n"))
+    starts = F.greatest(F.least("n", F.col("requests") - p.dos_burst_threshold + 1), F.lit(0))
+    peaks = second_totals(rows, p.dos_windows).join(own, ["ip", "sec"]).groupBy("ip", "window").agg(F.max("requests").alias("m"), F.sum(starts).alias("starts"))
     size = _mapping(p.dos_windows)
-    g = peaks.groupBy("ip").agg(F.max("m").alias("max_burst"), F.max_by("window", F.struct("m", -size[F.col("window")])).alias("window")).where(F.col("max_burst") >= p.dos_burst_threshold)
+    g = peaks.groupBy("ip").agg(F.max("m").alias("max_burst"), F.max_by("window", F.struct("m", -size[F.col("window")])).alias("window"), F.sum("starts").alias("burst_periods")).where(F.col("max_burst") >= p.dos_burst_threshold)
     m = F.col("max_burst")
-    return _finding(g.join(entries.groupBy("ip").agg(_last(TIME)), "ip"), F.concat(F.lit("DoS Burst Pattern ("), "window", F.lit(")")), "dos_burst_pattern", F.least(80 + F.floor((m - 100) / 10), F.lit(100)), F.concat(F.lit("Detected "), m, F.lit(" requests in "), "window", F.lit(" from IP "), "ip"), "window", "max_burst")
+    return _finding(g.join(entries.groupBy("ip").agg(_last(TIME)), "ip"), F.concat(F.lit("DoS Burst Pattern ("), "window", F.lit(")")), "dos_burst_pattern", F.least(80 + F.floor((m - p.dos_burst_threshold) / 10), F.lit(100)), F.concat(F.lit("Detected "), m, F.lit(" requests in "), "window", F.lit(" from IP "), "ip"), "window", "max_burst", "burst_periods")
 
 
 def user_agent_rotation(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
@@ -182,11 +216,18 @@ def large_request_pattern(entries: DataFrame, p: DetectorParams = DEFAULT) -> Da
 
 def automated_session_pattern(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
     """One whole-second gap below a minute and no other such gap, often enough."""
-    order = Window.partitionBy("ip").orderBy(*TIME)
-    sec = seconds(F.col("ts"))
-    rows = entries.select("ip", *REF, (sec - F.lag(sec).over(order)).alias("gap"), F.row_number().over(order).alias("pos"))
-    g = rows.groupBy("ip").agg(F.count("*").alias("entries"), F.count("gap").alias("gaps"), F.count_distinct(F.when(F.col("gap") < p.session_max_gap, F.col("gap"))).alias("kinds"), F.avg("gap").alias("avg_gap"), F.sort_array(F.collect_list(F.when(F.col("pos").between(2, 11), F.struct("pos", "gap")))).alias("s"), _last(TIME))
-    g = g.where((F.col("entries") >= p.session_min_entries) & (F.col("kinds") == 1) & (F.col("gaps") >= p.session_min_gaps)).withColumn("first_gaps", F.transform("s", lambda x: x["gap"]))
+    # rows of one second lie 0 seconds apart: a second of n rows has n - 1 such gaps beside that to the second before
+    secs = entries.groupBy("ip", seconds(F.col("ts")).alias("sec")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("ip").orderBy("sec")
+    secs = secs.withColumns({"gap": F.col("sec") - F.lag("sec").over(order), "k": F.row_number().over(order)})
+    short = F.array_compact(F.array(F.when(F.col("gap") < p.session_max_gap, F.col("gap")), F.when((F.col("n") > 1) & F.lit(p.session_max_gap > 0), F.lit(0).cast("long"))))
+    own = F.concat(F.array_compact(F.array("gap")), F.array_repeat(F.lit(0).cast("long"), F.least(F.col("n") - 1, F.lit(10)).cast("int")))
+    g = secs.withColumn("gap1", F.array_min(short)).withColumn("gap2", F.array_max(short)).groupBy("ip").agg(
+        F.sum("n").alias("entries"), (F.sum("n") - 1).alias("gaps"), F.min("gap1").alias("low"), F.max("gap2").alias("high"), F.try_divide(F.max("sec") - F.min("sec"), F.sum("n") - 1).alias("avg_gap"),
+        F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("k") <= 11, F.struct("k", own.alias("own"))))), lambda x: x["own"])), 1, 10).alias("first_gaps"),
+    )
+    g = g.withColumn("kinds", F.when(F.col("low") == F.col("high"), 1).otherwise(2)).where("low IS NOT NULL").join(entries.groupBy("ip").agg(_last(TIME)), "ip")
+    g = g.where((F.col("entries") >= p.session_min_entries) & (F.col("kinds") == 1) & (F.col("gaps") >= p.session_min_gaps))
     return _finding(g, "Automated Session Pattern", "automated_session_pattern", F.least(70 + F.col("gaps"), F.lit(90)), F.concat(F.lit("Detected machine-like timing pattern from IP "), "ip", F.format_string(" (avg %.1fs intervals)", F.col("avg_gap"))), "gaps", "avg_gap", "first_gaps")
 
 
@@ -195,16 +236,25 @@ def automated_session_pattern(entries: DataFrame, p: DetectorParams = DEFAULT) -
 
 def attach_country(entries: DataFrame, reputation: DataFrame, provider: str = "abuseipdb") -> DataFrame:
     """As-of join: the country of the last reputation row of the address at or before the entry; others drop."""
-    known = reputation.where(F.col("provider") == provider).select("ip", F.col("query_ts").alias("t"), F.lit(0).alias("kind"), "country_code", F.lit(None).cast(entries.select(F.struct("*")).schema[0].dataType).alias("e"))
-    asked = entries.select("ip", F.col("ts").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("country_code"), F.struct("*").alias("e"))
-    run = Window.partitionBy("ip").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = known.unionByName(asked).withColumn("country", F.last("country_code", ignorenulls=True).over(run))
-    return both.where("kind = 1 AND country IS NOT NULL").select("e.*", "country")
+    known = reputation.where(F.col("provider") == provider).select("ip", F.col("query_ts").alias("ts"), F.lit(0).alias("kind"), "country_code")
+    # only the distinct times of an address meet its reputation; entries meet the answer by address and time
+    asked = entries.select("ip", "ts").distinct().select("ip", "ts", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("country_code"))
+    run = Window.partitionBy("ip").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = known.unionByName(asked).withColumn("country", F.last("country_code", ignorenulls=True).over(run)).where("kind = 1 AND country IS NOT NULL")
+    return entries.join(both.select("ip", "ts", "country"), ["ip", "ts"]).select(*entries.columns, "country")
+
+
+def geo_change_periods(geo: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
+    """Every row from which a window holds many countries, with these countries."""
+    many = geo.groupBy("ip").agg(F.count_distinct("country").alias("c")).where(F.col("c") >= p.geo_change_threshold).select("ip")
+    rows = positioned(geo.join(many, "ip", "left_semi"), "country")
+    hot = window_distinct(rows, p.geo_window, "country").where(F.col("n_distinct") >= p.geo_change_threshold)
+    return window_items(hot, rows, p.geo_window, "country").select("ip", "sec", "pos", F.size("items").alias("count"), F.col("items").alias("countries"))
 
 
 def rapid_geographic_changes(geo: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
     many = geo.groupBy("ip").agg(F.count_distinct("country").alias("c")).where(F.col("c") >= p.geo_change_threshold).select("ip")
-    rows = geo.join(many, "ip", "left_semi").select("ip", seconds(F.col("ts")).alias("sec"), "file_path", "line_number", "country").withColumn("pos", F.row_number().over(Window.partitionBy("ip").orderBy("sec", "file_path", "line_number")))
+    rows = positioned(geo.join(many, "ip", "left_semi"), "country")
     hot = window_distinct(rows, p.geo_window, "country").where(F.col("n_distinct") >= p.geo_change_threshold)
     g = hot.groupBy("ip").agg(F.max("n_distinct").alias("max_countries"), F.count("*").alias("periods")).join(geo.groupBy("ip").agg(_last(TIME)), "ip")
     m = F.col("max_countries")
@@ -225,8 +275,11 @@ def high_risk_country_activity(geo: DataFrame, p: DetectorParams = DEFAULT) -> D
 def impossible_travel(geo: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
     """Country changes that come too soon after the first row of the previous country's run."""
     order = Window.partitionBy("ip").orderBy(*TIME)
-    first = geo.select("ip", "country", *REF, seconds(F.col("ts")).alias("sec"), F.lag("country").over(order).alias("was")).where("was IS NULL OR was <> country")
-    runs = first.withColumn("elapsed", F.col("sec") - F.lag("sec").over(order))
-    g = runs.where((F.col("was").isNotNull()) & (F.col("elapsed") < p.travel_seconds)).groupBy("ip").agg(F.count("*").alias("changes"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.array("was", "country"))))).alias("countries"), _last(TIME))
+    first = geo.select("ip", "country", *TIME, F.lag("country").over(order).alias("was")).where("was IS NULL OR was <> country")
+    runs = first.withColumn("elapsed", seconds(F.col("ts")) - F.lag(seconds(F.col("ts"))).over(order))
+    g = runs.where((F.col("was").isNotNull()) & (F.col("elapsed") < p.travel_seconds)).groupBy("ip").agg(F.count("*").alias("changes"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.array("was", "country"))))).alias("countries"), F.max(F.struct(*TIME)).alias("at"))
+    # the whole row of the last change only
+    refs = geo.select("ip", F.struct(*TIME).alias("at"), F.struct(*REF).alias("ref"))
+    g = g.join(refs, ["ip", "at"]).dropDuplicates(["ip"])
     n = F.col("changes")
     return _finding(g, "Impossible Travel Pattern", "impossible_travel", F.least(90 + n * 2, F.lit(100)), F.concat(F.lit("Detected "), n, F.lit(" rapid country changes from IP "), "ip", F.lit(" (impossible travel)")), "changes", "countries")

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import ABUSE_CATEGORIES
-from ..functions.text import IPV4, is_public
+from ..functions.text import IPV4, is_public, title_case
+from .registry import providers as registered
 
 COLUMNS = ["ip", "provider", "query_ts", "is_malicious", "confidence_score", "country_code", "organization", "abuse_reports", "last_seen", "reputation_score", "threat_types", "additional"]
 PROVIDERS = ("abuseipdb", "virustotal")
 
 
 def extract_finding_ips(findings: DataFrame) -> DataFrame:
-    """Distinct client addresses, and valid IPv4 addresses inside request, agent and referer."""
-    word = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])"
+    """Distinct client addresses, and valid IPv4 addresses between word boundaries in request, agent and referer."""
+    word = r"(?U)\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
     inside = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(word), 0) for c in ("request_line", "user_agent", "referer"))))
     found = findings.select(F.explode(F.filter(inside, lambda x: x.rlike(rf"^{IPV4}$"))).alias("ip"))
     return findings.select("ip").union(found).where("ip IS NOT NULL").distinct()
@@ -36,20 +37,28 @@ def normalize_abuseipdb(raw: DataFrame) -> DataFrame:
 
 
 def normalize_virustotal(raw: DataFrame) -> DataFrame:
-    schema = "data struct<attributes: struct<country: string, as_owner: string, asn: int, network: string, reputation: int, last_analysis_stats: map<string, int>, last_analysis_results: map<string, struct<category: string, result: string>>, total_votes: struct<harmless: int, malicious: int>>>"
+    schema = "data struct<attributes: struct<country: string, as_owner: string, asn: int, network: string, reputation: int, last_analysis_date: bigint, last_analysis_stats: map<string, int>, last_analysis_results: map<string, struct<category: string, result: string>>, total_votes: struct<harmless: int, malicious: int>>>"
     a = raw.select("ip", "provider", "query_ts", F.from_json("body", schema)["data"]["attributes"].alias("a"))
     stats = F.coalesce("a.last_analysis_stats", F.create_map().cast("map<string, int>"))
     count = lambda k: F.coalesce(F.try_element_at(stats, F.lit(k)), F.lit(0))
-    total = F.aggregate(F.map_values(stats), F.lit(0), lambda x, y: x + y)
-    score = F.when(total > 0, ((count("malicious") + count("suspicious")) * 100.0 / total).cast("int")).otherwise(0)
+    total = count("malicious") + count("suspicious") + count("harmless") + count("undetected")
+    # divided first, as the cut to a whole number depends on it
+    score = F.when(total > 0, ((count("malicious") + count("suspicious")) / total * 100).cast("int")).otherwise(0)
     engines = F.map_values(F.coalesce("a.last_analysis_results", F.create_map().cast("map<string, struct<category: string, result: string>>")))
-    threats = F.array_sort(F.array_distinct(F.transform(F.filter(engines, lambda e: e["category"].isin("malicious", "suspicious") & e["result"].isNotNull()), lambda e: F.initcap(F.lower(e["result"])))))
-    extra = F.map_filter(F.create_map(F.lit("asn"), F.col("a.asn").cast("string"), F.lit("network"), "a.network"), lambda k, v: v.isNotNull())
-    return a.select("ip", "provider", "query_ts", ((count("malicious") > 0) | (score >= 25)).alias("is_malicious"), score.alias("confidence_score"), F.col("a.country").alias("country_code"), F.col("a.as_owner").alias("organization"), count("malicious").alias("abuse_reports"), F.lit(None).cast("timestamp").alias("last_seen"), F.col("a.reputation").alias("reputation_score"), threats.alias("threat_types"), extra.alias("additional"))
+    threats = F.array_sort(F.array_distinct(F.transform(F.filter(engines, lambda e: e["category"].isin("malicious", "suspicious") & e["result"].isNotNull()), lambda e: title_case(e["result"]))))
+    numbers = {"asn": F.col("a.asn"), "malicious_count": count("malicious"), "suspicious_count": count("suspicious"), "clean_count": count("harmless"), "undetected_count": count("undetected"), "harmless_votes": F.coalesce("a.total_votes.harmless", F.lit(0)), "malicious_votes": F.coalesce("a.total_votes.malicious", F.lit(0))}
+    extra = F.map_filter(F.create_map(*(x for k, v in numbers.items() for x in (F.lit(k), v.cast("string"))), F.lit("network"), "a.network"), lambda k, v: v.isNotNull())
+    return a.select("ip", "provider", "query_ts", ((count("malicious") > 0) | (score >= 25)).alias("is_malicious"), score.alias("confidence_score"), F.col("a.country").alias("country_code"), F.col("a.as_owner").alias("organization"), count("malicious").alias("abuse_reports"), F.timestamp_seconds("a.last_analysis_date").alias("last_seen"), F.col("a.reputation").alias("reputation_score"), threats.alias("threat_types"), extra.alias("additional"))
 
 
 def normalize_all(raw: DataFrame) -> DataFrame:
-    return normalize_abuseipdb(raw.where("provider = 'abuseipdb'")).unionByName(normalize_virustotal(raw.where("provider = 'virustotal'")))
+    """The payloads of both providers and of the registered ones; a registered one takes the place of its name."""
+    known = {"abuseipdb": normalize_abuseipdb, "virustotal": normalize_virustotal} | registered()
+    out = None
+    for name, fn in known.items():
+        rows = fn(raw.where(F.col("provider") == name)).select(*COLUMNS)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def latest_reputation(reputation: DataFrame, as_of=None, ttl_seconds: int | None = None) -> DataFrame:

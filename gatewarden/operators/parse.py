@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_clf_timestamp, request_path, valid_ip
+from .registry import parsers as registered
 
 # One pattern for both formats: Combined is Common with an optional tail.
 LINE = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d+) (\S+)( "([^"]*)" "([^"]*)")?'
+UNKNOWN = "Line does not match a known log format"
 FIELDS = ["file_path", "line_number", "ip", "ts", "request_line", "status", "raw_line", "user_agent", "bytes_sent", "referer", "remote_user", "path"]
 
 
@@ -16,16 +18,20 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     """Entry columns and `error` (null for a good line) of every line."""
     text = F.regexp_replace("content", r"(?U)^\s+|\s+$", "")
     got = lines.select("file_path", "line_number", F.col("content").alias("raw_line"), text.alias("t"))
-    # one pass of the pattern for all groups; absent groups are empty
-    cut = "(?s)" + LINE + ".*$"
-    parts = F.split(F.regexp_replace("t", cut, "\u0001".join(f"${k}" for k in (1, 3, 4, 5, 6, 7, 8, 9, 10))), "\u0001")
-    got = got.withColumns({"matched": F.col("t").rlike(LINE), "g": F.when(F.col("t").rlike(LINE), parts)})
+    # one pass of the pattern for all groups, joined by a mark; a line that holds the mark itself is taken group by group
+    groups, mark = (1, 3, 4, 5, 6, 7, 8, 9, 10), "\u0001"
+    cut = F.regexp_replace("t", "(?s)" + LINE + ".*$", mark + mark.join(f"${k}" for k in groups))
+    marked = F.col("t").contains(mark)
+    got = got.withColumn("cut", F.when(~marked, cut))
+    parts = F.when(~marked, F.slice(F.split("cut", mark), 2, len(groups))).otherwise(F.array(*(F.regexp_extract("t", LINE, k) for k in groups)))
+    got = got.withColumn("matched", F.when(~marked, F.col("cut").startswith(mark)).otherwise(F.col("t").rlike(LINE)))
+    got = got.withColumn("g", F.when(F.col("matched"), parts))
     names = ("ip", "user", "stamp", "request_line", "code", "size", "tail", "ref", "agent")
     got = got.withColumns({n: F.get("g", F.lit(k)) for k, n in enumerate(names)})
     got = got.withColumns({"ts": parse_clf_timestamp(F.col("stamp")), "status": F.col("code").try_cast("int"), "bytes_sent": F.when(F.col("size") != "-", F.col("size").try_cast("bigint")), "combined": F.col("tail") != ""})
     error = (
         F.when(F.col("t") == "", "Empty log line")
-        .when(~F.col("matched"), "Line does not match a known log format")
+        .when(~F.col("matched"), UNKNOWN)
         .when(~valid_ip(F.col("ip")), F.concat(F.lit("Invalid IP address: "), "ip"))
         .when(F.col("ts").isNull(), F.concat(F.lit("Invalid timestamp '"), "stamp", F.lit("'")))
         .when(F.col("status").isNull() | ~F.col("status").between(100, 599), F.concat(F.lit("Invalid HTTP status code: "), "code"))
@@ -42,6 +48,19 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     ).select(*FIELDS, "error")
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """parse_access_log, and for the lines whose format it does not know the registered parsers, in order of their
+    registration: the first that has no error for a line gives its columns. Those lines are found in one more pass for
+    each parser."""
+    out = parse_access_log(lines)
+    for fn in registered().values():
+        unknown = F.col("error") == UNKNOWN
+        tried = fn(out.where(unknown).select("file_path", "line_number", F.col("raw_line").alias("content"))).where("error IS NULL").select(*FIELDS, "error")
+        left = out.join(tried.select("file_path", "line_number").withColumn("hit", F.lit(True)), ["file_path", "line_number"], "left").where("hit IS NULL").select(*FIELDS, "error")
+        out = left.unionByName(tried)
+    return out
+
+
 def entries_of(parsed: DataFrame) -> DataFrame:
     return parsed.where("error IS NULL").drop("error")
 

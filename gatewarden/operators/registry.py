@@ -15,12 +15,12 @@ def register_detector(name: str, fn: Callable) -> None:
 
 
 def register_parser(name: str, fn: Callable) -> None:
-    """fn(lines) -> entry columns and error."""
+    """fn(lines) -> entry columns and error: asked for lines of a format that the access-log parser does not know."""
     _parsers[name] = fn
 
 
 def register_provider(name: str, fn: Callable) -> None:
-    """fn(raw payload rows) -> reputation rows."""
+    """fn(raw payload rows of this provider) -> reputation rows."""
     _providers[name] = fn
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import title_case
 from .findings import severity_counts
 
 
@@ -68,9 +69,10 @@ def format_findings(scored: DataFrame, verbose: bool = False) -> DataFrame:
     """scored with a text of several lines for each finding."""
     agent = F.when(F.char_length("user_agent") > 60, F.concat(F.substring("user_agent", 1, 60), F.lit("..."))).otherwise(F.col("user_agent"))
     providers = F.transform(F.map_entries("reputation"), lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), F.when(e["value"]["is_malicious"], "malicious").otherwise("clean"), F.lit(" ("), e["value"]["confidence_score"], F.lit("%)")))
-    lines = [F.concat(F.lit("["), "level", F.lit("] "), "finding_type", F.lit(" - risk "), "composite"), F.concat(F.lit("  IP: "), "ip"), F.concat(F.lit("  "), "description"), F.concat(F.lit("  Pattern: "), "pattern_type"), F.concat(F.lit("  Window: "), "window"), F.array_join(providers, "\n"), F.concat(F.lit("  ISP: "), F.try_element_at("reputation", F.lit("virustotal"))["organization"])]
+    pattern = F.concat(F.lit("  Pattern: "), title_case(F.replace("pattern_type", F.lit("_"), F.lit(" "))), F.coalesce(F.concat(F.lit(" (Window: "), "window", F.lit(")")), F.lit("")))
+    lines = [F.concat(F.lit("["), "level", F.lit("] "), "finding_type", F.lit(" - risk "), "composite"), F.concat(F.lit("  "), "description"), F.concat(F.lit("  IP: "), "ip"), F.concat(F.lit("  Time: "), F.date_format("ref_ts", "yyyy-MM-dd HH:mm:ss")), pattern, F.array_join(providers, "\n"), F.concat(F.lit("  ISP: "), F.try_element_at("reputation", F.lit("virustotal"))["organization"])]
     if verbose:
-        lines += [F.concat(F.lit("  Request: "), "request_line"), F.concat(F.lit("  Status: "), "status"), F.concat(F.lit("  Agent: "), agent)]
+        lines += [F.concat(F.lit("  Request: "), "request_line"), F.concat(F.lit("  Status: "), "status"), F.when(agent != "", F.concat(F.lit("  Agent: "), agent)), F.when(F.col("bytes_sent") > 0, F.concat(F.lit("  Bytes sent: "), F.format_number("bytes_sent", 0)))]
     return scored.withColumn("report", F.concat_ws("\n", *lines))
 
 

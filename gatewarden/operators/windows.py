@@ -1,4 +1,6 @@
-"""Exact sliding windows that stay cheap on one hot address: running sums over a sorted union, no frames."""
+"""Exact sliding windows that stay cheap on one hot address: rows are added up to seconds before an address's rows
+meet, running sums go over a sorted union of seconds (no frames), and what is needed for each row is put together
+within (address, second) or (address, span of time)."""
 
 from __future__ import annotations
 
@@ -6,36 +8,78 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UPTO = (Window.unboundedPreceding, Window.currentRow)
+BEFORE = (Window.unboundedPreceding, -1)
+#: Seconds of the spans in which running sums over rows are taken.
+SPAN = 3600
 
 
-def positioned(entries: DataFrame) -> DataFrame:
-    """Narrow rows in time order (stable): ip, sec, pos from 1, line, path, status, failed."""
+def positioned(entries: DataFrame, *keep: str) -> DataFrame:
+    """Narrow rows in time order (stable): ip, sec, pos from 1, line, path, status, failed, and columns to keep.
+
+    Rows before a second are known from the counts of seconds; rows are ordered within their second only.
+    """
     from ..functions.text import seconds
 
-    narrow = entries.select("ip", seconds(F.col("ts")).alias("sec"), "file_path", "line_number", "path", F.when(F.col("status").isin(401, 403), 1).otherwise(0).alias("failed"))
-    return narrow.withColumn("pos", F.row_number().over(Window.partitionBy("ip").orderBy("sec", "file_path", "line_number")))
+    narrow = entries.select("ip", seconds(F.col("ts")).alias("sec"), "file_path", "line_number", "path", F.when(F.col("status").isin(401, 403), 1).otherwise(0).alias("failed"), *keep)
+    counts = narrow.groupBy("ip", "sec").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("ip").orderBy("sec").rowsBetween(*BEFORE)), F.lit(0))).drop("n")
+    inside = narrow.withColumn("k", F.row_number().over(Window.partitionBy("ip", "sec").orderBy("file_path", "line_number")))
+    return inside.join(before, ["ip", "sec"]).withColumn("pos", (F.col("before") + F.col("k")).cast("int")).drop("before", "k")
 
 
-def window_counts(rows: DataFrame, windows: dict[str, int], flag: str = "failed") -> DataFrame:
-    """For every row and window [sec, sec + W], from that row on: requests and flagged rows."""
-    rows = rows.withColumn("upto", F.sum(flag).over(Window.partitionBy("ip").orderBy("pos").rowsBetween(*UPTO)))
+def second_totals(rows: DataFrame, windows: dict[str, int], flag: str = "failed") -> DataFrame:
+    """For every address, second with rows and window: rows and flagged rows in [sec, sec + W]."""
+    secs = rows.groupBy("ip", "sec").agg(F.count("*").alias("n"), F.sum(flag).alias("f"))
+    upto = Window.partitionBy("ip").orderBy("sec").rowsBetween(*BEFORE)
+    secs = secs.withColumns({"n0": F.coalesce(F.sum("n").over(upto), F.lit(0)), "f0": F.coalesce(F.sum("f").over(upto), F.lit(0))})
     sizes = F.array(*(F.struct(F.lit(k).alias("window"), F.lit(v).cast("long").alias("w")) for k, v in windows.items()))
-    points = rows.select("ip", F.col("sec").alias("t"), F.lit(0).alias("probe"), F.lit(1).alias("one"), F.col(flag).alias("f"), "sec", "pos", "upto", F.col(flag).alias("own"), F.lit(None).cast("string").alias("window"))
-    probes = rows.withColumn("x", F.explode(sizes)).select("ip", (F.col("sec") + F.col("x.w")).alias("t"), F.lit(1).alias("probe"), F.lit(0).alias("one"), F.lit(0).alias("f"), "sec", "pos", "upto", F.col(flag).alias("own"), F.col("x.window").alias("window"))
+    points = secs.select("ip", F.col("sec").alias("t"), F.lit(0).alias("probe"), "n", "f", "sec", "n0", "f0", F.lit(None).cast("string").alias("window"))
+    probes = secs.withColumn("x", F.explode(sizes)).select("ip", (F.col("sec") + F.col("x.w")).alias("t"), F.lit(1).alias("probe"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("f"), "sec", "n0", "f0", F.col("x.window").alias("window"))
     run = Window.partitionBy("ip").orderBy("t", "probe").rowsBetween(*UPTO)
-    both = points.unionByName(probes).withColumns({"ce": F.sum("one").over(run), "fe": F.sum("f").over(run)}).where("probe = 1")
-    return both.select("ip", "window", "sec", "pos", (F.col("ce") - F.col("pos") + 1).alias("requests"), (F.col("fe") - F.col("upto") + F.col("own")).alias("flagged"))
+    both = points.unionByName(probes).withColumns({"ce": F.sum("n").over(run), "fe": F.sum("f").over(run)}).where("probe = 1")
+    return both.select("ip", "window", "sec", (F.col("ce") - F.col("n0")).alias("requests"), (F.col("fe") - F.col("f0")).alias("flagged"))
+
+
+def window_peaks(rows: DataFrame, windows: dict[str, int], flag: str = "failed") -> DataFrame:
+    """Per address and window the most rows and flagged rows; the first row of a second sees all of it."""
+    return second_totals(rows, windows, flag).groupBy("ip", "window").agg(F.max("requests").alias("max_requests"), F.max("flagged").alias("max_flagged"))
+
+
+def window_counts(rows: DataFrame, windows: dict[str, int], flag: str = "failed") -> DataFrame:
+    """For every row and window [sec, sec + W], from that row on: requests and flagged rows."""
+    inside = Window.partitionBy("ip", "sec").orderBy("pos").rowsBetween(*BEFORE)
+    own = rows.select("ip", "sec", "pos", F.count(F.lit(1)).over(inside).alias("k"), F.coalesce(F.sum(flag).over(inside), F.lit(0)).alias("g"))
+    return own.join(second_totals(rows, windows, flag), ["ip", "sec"]).select("ip", "window", "sec", "pos", (F.col("requests") - F.col("k")).alias("requests"), (F.col("flagged") - F.col("g")).alias("flagged"))
+
+
+def _islands(rows: DataFrame, w: int, item: str) -> DataFrame:
+    """Spans of an address's item in which no gap is over w: first second, last second and position."""
+    per = Window.partitionBy("ip", item).orderBy("sec")
+    items = rows.where(F.col(item).isNotNull()).groupBy("ip", item, "sec").agg(F.max("pos").alias("pos"))
+    items = items.withColumn("new", (F.col("sec") - F.lag("sec").over(per) > w).cast("int"))
+    items = items.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(per.rowsBetween(*UPTO)))
+    return items.groupBy("ip", item, "island").agg(F.min("sec").alias("first"), F.max(F.struct("sec", "pos")).alias("last"))
 
 
 def window_distinct(rows: DataFrame, w: int, item: str) -> DataFrame:
     """For every row: how many distinct items the window [sec, sec + w] holds from that row on (interval sweep)."""
-    per = Window.partitionBy("ip", item).orderBy("pos")
-    items = rows.where(F.col(item).isNotNull()).withColumn("new", (F.col("sec") - F.lag("sec").over(per) > w).cast("int"))
-    items = items.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(per.rowsBetween(*UPTO)))
-    spans = items.groupBy("ip", item, "island").agg(F.min("sec").alias("first"), F.max(F.struct("sec", "pos")).alias("last"))
+    spans = _islands(rows, w, item)
     null = F.lit(None).cast("long")
     up = spans.select("ip", (F.col("first") - w).alias("t"), F.lit(-1).alias("p"), F.lit(0).alias("kind"), F.lit(1).alias("d"), null.alias("sec"), F.lit(None).cast("int").alias("pos"))
     down = spans.select("ip", F.col("last.sec").alias("t"), F.col("last.pos").alias("p"), F.lit(2).alias("kind"), F.lit(-1).alias("d"), null.alias("sec"), F.lit(None).cast("int").alias("pos"))
     anchors = rows.select("ip", F.col("sec").alias("t"), F.col("pos").alias("p"), F.lit(1).alias("kind"), F.lit(0).alias("d"), "sec", "pos")
-    run = Window.partitionBy("ip").orderBy("t", "p", "kind").rowsBetween(*UPTO)
-    return up.unionByName(down).unionByName(anchors).withColumn("n", F.sum("d").over(run)).where("kind = 1").select("ip", "sec", "pos", F.col("n").alias("n_distinct"))
+    steps = up.unionByName(down).unionByName(anchors).withColumn("span", F.floor(F.col("t") / SPAN))
+    # what is open when a span begins is known from the sums of the spans before
+    sums = steps.groupBy("ip", "span").agg(F.sum("d").alias("s"))
+    opened = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.partitionBy("ip").orderBy("span").rowsBetween(*BEFORE)), F.lit(0))).drop("s")
+    run = Window.partitionBy("ip", "span").orderBy("t", "p", "kind").rowsBetween(*UPTO)
+    return steps.withColumn("n", F.sum("d").over(run)).where("kind = 1").join(opened, ["ip", "span"]).select("ip", "sec", "pos", (F.col("n") + F.col("before")).alias("n_distinct"))
+
+
+def window_items(anchors: DataFrame, rows: DataFrame, w: int, item: str) -> DataFrame:
+    """For the given anchors (ip, sec, pos) of rows: the distinct items of their windows, sorted. For items of few kinds."""
+    spans = _islands(rows, w, item).select("ip", F.col(item).alias("item"), (F.col("first") - w).alias("t0"), F.col("last.sec").alias("t1"), F.col("last.pos").alias("p1"))
+    spans = spans.withColumn("span", F.explode(F.sequence(F.floor(F.col("t0") / SPAN), F.floor(F.col("t1") / SPAN))))
+    met = anchors.select("ip", "sec", "pos").withColumn("span", F.floor(F.col("sec") / SPAN)).join(spans, ["ip", "span"])
+    inside = (F.col("t0") <= F.col("sec")) & ((F.col("sec") < F.col("t1")) | (F.col("sec") == F.col("t1")) & (F.col("pos") <= F.col("p1")))
+    return met.where(inside).groupBy("ip", "sec", "pos").agg(F.array_sort(F.collect_set("item")).alias("items"))

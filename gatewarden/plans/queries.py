@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import request_path, url_decode_text
-from ..operators import detect, enrich, findings, keyword, parse, score, traffic
+from ..operators import detect, enrich, findings, keyword, parse, registry, score, traffic
 from ..params import DEFAULT
 from ..sources import derived, logs
 
@@ -34,9 +35,11 @@ _stored: dict = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset and all tasks run here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gatewarden-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -47,10 +50,17 @@ class Tables:
     lines are parsed once and only the columns a query needs are read."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._seen = spark, sf_dir, None
+
+    def _state(self) -> tuple:
+        """Size and time of the input's files: with another input the tables are made anew."""
+        if self._seen is None:
+            files = self.spark.read.format("binaryFile").load(f"{self.sf_dir}/events.parquet").agg(F.count("*"), F.sum("length"), F.max("modificationTime"))
+            self._seen = tuple(map(str, files.first()))
+        return self._seen
 
     def _once(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self._state(), name)
         if key not in _stored:
             path = os.path.join(shared_folder(self.spark), "tables", f"{name}-{uuid.uuid4().hex}")
             build().write.parquet(path)
@@ -63,7 +73,7 @@ class Tables:
 
     @property
     def parsed(self):
-        return self._once("parsed", lambda: parse.parse_access_log(self.lines))
+        return self._once("parsed", lambda: parse.parse_lines(self.lines))
 
     @property
     def entries(self):
@@ -114,7 +124,10 @@ def _log_files(t: Tables) -> str:
 
 def _read_lines(t: Tables) -> DataFrame:
     lines = logs.decode_lines(logs.read_log_lines(t.spark, _log_files(t)))
-    return lines.groupBy("content", "encoding").agg(F.count("*").alias("n"))
+    # the log lies in files in the order of their names: lines before a file and the number in it give the place in all
+    n = lines.groupBy("file_path").agg(F.max("line_number").alias("n"))
+    before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return lines.join(before, "file_path").select((F.col("before") + F.col("line_number")).alias("line_number"), "content", "encoding")
 
 
 def _inventory(t: Tables) -> DataFrame:
@@ -161,6 +174,47 @@ def _report(t):
     return t.spark.createDataFrame([(score.render_report(t.scored, t.entries),)], "report string")
 
 
+def _marked(lines: DataFrame) -> DataFrame:
+    """A parser of another format: the derived log's lines of the form `garbage line N`."""
+    n = F.regexp_extract("content", "^garbage line ([0-9]+)$", 1)
+    none = {"ip": F.lit("127.0.0.1"), "ts": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "status": F.lit(200), "bytes_sent": n.try_cast("bigint"), "request_line": F.concat(F.lit("GARBAGE "), n), "path": n, "raw_line": F.col("content"), **{c: F.lit(None).cast("string") for c in ("user_agent", "referer", "remote_user")}}
+    return lines.select("file_path", "line_number", *(v.alias(k) for k, v in none.items()), F.when(n == "", "no").alias("error"))
+
+
+def _with_parser(t):
+    registry.register_parser("marked", _marked)
+    try:
+        return parse.parse_stats(parse.parse_lines(t.lines), "file_path").select("file_path", "total", "successful", "errors")
+    finally:
+        registry.unregister("marked")
+
+
+def _with_detector(t):
+    def busy(entries, p):
+        g = entries.groupBy("ip").agg(F.count("*").alias("n"), detect._last(detect.INPUT)).where("n >= 10")
+        return g.select("ip", F.lit("Busy Address").alias("finding_type"), F.lit("busy").alias("pattern_type"), F.lit(33).alias("risk_score"), F.concat(F.lit("Busy: "), "ip").alias("description"), "ref", "n")
+
+    registry.register_detector("busy", busy)
+    try:
+        return findings.all_findings(t.entries, detectors=()).where("detector = 'busy'").select("finding_type", "ip", "risk_score", "description", "ref_line", "details")
+    finally:
+        registry.unregister("busy")
+
+
+def _with_provider(t):
+    def mirror(raw):
+        score = F.get_json_object("body", "$.data.abuseConfidencePercentage").cast("int")
+        values = {"is_malicious": score >= 90, "confidence_score": score, "country_code": F.get_json_object("body", "$.data.countryCode"), "organization": F.lit("mirror"), "abuse_reports": F.lit(0), "last_seen": F.lit(None).cast("timestamp"), "reputation_score": F.lit(None).cast("int"), "threat_types": F.array().cast("array<string>"), "additional": F.create_map().cast("map<string, string>")}
+        return raw.select("ip", "provider", "query_ts", *(v.alias(k) for k, v in values.items()))
+
+    registry.register_provider("mirror", mirror)
+    try:
+        raw = t.raw.unionByName(t.raw.where("provider = 'abuseipdb'").withColumn("provider", F.lit("mirror")))
+        return enrich.normalize_all(raw).groupBy("provider").agg(F.count("*").alias("n"), F.count_if("is_malicious").alias("malicious"), F.sum("confidence_score").alias("scores"))
+    finally:
+        registry.unregister("mirror")
+
+
 QUERIES = {
     "read_log_lines": _read_lines,
     "decode_lines": lambda t: logs.decode_lines(t.lines).groupBy("encoding").agg(F.count("*").alias("n"), F.sum(F.char_length("content")).alias("chars")),
@@ -189,14 +243,16 @@ QUERIES = {
     "request_burst_pattern": lambda t: _ref(detect.request_burst_pattern(t.entries, LOW), "window", "max_requests"),
     "scan_periods": lambda t: detect.scan_periods(t.entries),
     "path_enumeration": lambda t: _ref(detect.path_enumeration(t.entries), "max_paths", "periods", "total_paths"),
-    "scanning_tool_signature": lambda t: _ref(detect.scanning_tool_signature(t.entries), "patterns", "matches", "max_score"),
+    "scanning_tool_signature": lambda t: _ref(detect.scanning_tool_signature(t.entries).withColumn("pattern_scores", F.transform("scores", lambda x: F.concat(x["pattern"], F.lit("="), x["score"]))), "patterns", "pattern_scores", "matches", "max_score"),
     "vulnerability_scanning": lambda t: _ref(detect.vulnerability_scanning(t.entries, LOW), "total", "not_found_ratio", "forbidden_ratio", "sample_paths"),
-    "dos_burst_pattern": lambda t: _ref(detect.dos_burst_pattern(t.entries, LOW), "window", "max_burst"),
+    "dos_burst_pattern": lambda t: _ref(detect.dos_burst_pattern(t.entries, LOW), "window", "max_burst", "burst_periods"),
+    "dos_burst_periods": lambda t: detect.dos_burst_periods(t.entries, LOW),
     "user_agent_rotation": lambda t: _ref(detect.user_agent_rotation(t.entries), "agents", "per_minute", "sample_agents"),
     "automated_request_pattern": lambda t: _ref(detect.automated_request_pattern(t.entries, LOW), "tiny", "tiny_ratio", "avg_size"),
     "large_request_pattern": lambda t: _ref(detect.large_request_pattern(t.entries, LARGE), "huge", "huge_ratio", "max_size"),
     "automated_session_pattern": lambda t: _ref(detect.automated_session_pattern(t.entries, LOW), "gaps", "avg_gap", "first_gaps"),
     "attach_country": _geo,
+    "geo_change_periods": lambda t: detect.geo_change_periods(t.geo),
     "rapid_geographic_changes": lambda t: _ref(detect.rapid_geographic_changes(t.geo), "max_countries", "periods"),
     "high_risk_country_activity": lambda t: _ref(detect.high_risk_country_activity(t.geo, LOW), "country", "total", "failed", "rate"),
     "impossible_travel": lambda t: _ref(detect.impossible_travel(t.geo), "changes", "countries"),
@@ -226,6 +282,9 @@ QUERIES = {
     "top_user_agents": lambda t: traffic.top_user_agents(t.entries),
     "top_referers": lambda t: traffic.top_referers(t.entries),
     "error_analysis": lambda t: traffic.error_analysis(t.entries),
+    "register_parser": _with_parser,
+    "register_detector": _with_detector,
+    "register_provider": _with_provider,
     "errors_by_path": lambda t: traffic.errors_by_path(t.entries),
     "requests_over_time": lambda t: traffic.requests_over_time(t.entries),
 }

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewarden.functions.text import is_public, request_path, url_decode_text, valid_ip
-from gatewarden.operators import detect, parse, registry
+from gatewarden.operators import detect, enrich, parse, registry
 from gatewarden.operators.windows import window_counts, window_distinct
 from gatewarden.sources import logs
 
@@ -91,3 +91,55 @@ def test_registry():
     assert "mine" in registry.detectors()
     registry.unregister("mine")
     assert "mine" not in registry.detectors()
+
+
+def test_line_with_the_mark_of_the_parser(spark):
+    at = "01/Jan/2024:00:00:00 +0000"
+    got = parsed(spark, LINE % (at, "GET /a\u0001b/c HTTP/1.1", 200, 7), "\u0001 junk", LINE % (at, "GET / H", 200, 1) + ' "r\u0001" "ua"')
+    assert got[1].error is None and got[1].request_line == "GET /a\u0001b/c HTTP/1.1" and got[1].bytes_sent == 7
+    assert got[2].error.startswith("Line does not match") and got[3].referer == "r\u0001" and got[3].user_agent == "ua"
+
+
+def test_registered_parser_and_provider(spark):
+    lines = spark.createDataFrame([("f", 1, "junk 7"), ("f", 2, LINE % ("01/Jan/2024:00:00:00 +0000", "GET / H", 200, 1)), ("f", 3, "other")], "file_path string, line_number long, content string")
+    registry.register_parser("junk", lambda df: parse.parse_access_log(df.withColumn("content", F.when(F.col("content").startswith("junk"), F.lit(LINE % ("01/Jan/2024:00:00:00 +0000", "GET /j H", 201, 1))).otherwise(F.col("content")))))
+    try:
+        got = {r.line_number: (r.error is None, r.path) for r in parse.parse_lines(lines).collect()}
+    finally:
+        registry.unregister("junk")
+    assert got == {1: (True, "/j"), 2: (True, "/"), 3: (False, None)}
+    assert {r.line_number for r in parse.parse_lines(lines).where("error IS NULL").collect()} == {2}
+
+
+def test_reputation_values(spark):
+    body = '{"data":{"attributes":{"last_analysis_date":86400,"last_analysis_stats":{"malicious":29,"suspicious":0,"harmless":71,"undetected":0,"timeout":5},"last_analysis_results":{"a":{"category":"malicious","result":"TROJAN.generic-x"}},"total_votes":{"harmless":1,"malicious":2}}}}'
+    raw = spark.createDataFrame([("1.1.1.1", "virustotal", datetime(2024, 1, 1), body)], "ip string, provider string, query_ts timestamp_ntz, body string")
+    r = enrich.normalize_virustotal(raw).first()
+    assert (r.confidence_score, r.threat_types, r.last_seen, r.additional["malicious_votes"]) == (28, ["Trojan.Generic-X"], datetime(1970, 1, 2), "2")
+
+
+def test_addresses_between_word_boundaries(spark):
+    df = spark.createDataFrame([("9.9.9.9", "see 8.8.4.4. and v1.1.1.1 and 1.2.3.4.5 256.1.1.1", None, None)], "ip string, request_line string, user_agent string, referer string")
+    assert {r.ip for r in enrich.extract_finding_ips(df).collect()} == {"9.9.9.9", "8.8.4.4", "1.2.3.4"}
+
+
+def test_dos_risk_and_periods_follow_the_threshold(spark):
+    from dataclasses import replace
+
+    p = replace(detect.DEFAULT, dos_burst_threshold=20)
+    rows = [("a", 0, 200, None)] * 25 + [("a", 1, 200, None)] * 5 + [("b", 40 * k, 200, None) for k in range(30)]
+    one = entries(spark, rows)
+    got = {r.ip: (r.max_burst, r.window, r.risk_score, r.burst_periods) for r in detect.dos_burst_pattern(one, p).collect()}
+    periods = detect.dos_burst_periods(one, p)
+    assert got == {"a": (30, "30sec", 81, 11 * 4)} and periods.count() == 44 and {r.duration for r in periods.collect()} == {30, 60, 120, 300}
+
+
+def test_changed_input_is_read_again(spark, tmp_path):
+    from gatewarden.plans import queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    counts = []
+    for n in (50, 80):
+        events.limit(n).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+        counts.append(queries.Tables(spark, str(tmp_path)).lines.count())
+    assert counts == [50, 80]
