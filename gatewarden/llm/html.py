@@ -28,17 +28,21 @@ from pyspark.sql import functions as F
 from .common import plus, saved, table
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title|object|canvas|math|button)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s>/]*)(?P<attrs2>[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title|object|canvas|button)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s>/]*)(?P<attrs2>[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 # Elements of HTML by how they shape text.
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "semantics"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track"}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
-NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adbox|banner|sponsor|sponsored|promo|sidebar|side-bar|comment|comments|respond|reply|replies|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|menu|navbar|navigation|nav|footer|masthead|pagination|pager|widget|disqus|toolbar|skip|login|search|legal|copyright|tags)(?=$|[\s_-])", re.I)
+# Names of boilerplate: the first wherever they stand in a class or id, the others alone, last, or before words of layout.
+_ANYWHERE = "advert|adverts|advertisement|adbox|sponsor|sponsored|sidebar|comment|comments|disqus|cookie|cookies|consent|gdpr|newsletter|breadcrumb|breadcrumbs|navbar|navigation|nav|footer|masthead|pagination|pager|menu|popup|modal"
+_LAST = "ad|ads|banner|promo|side-bar|respond|reply|replies|notice|notices|alert|overlay|subscribe|subscription|signup|share|sharing|social|related|recommended|widget|toolbar|skip|login|search|legal|copyright|tags"
+_LAYOUT = "area|articles|bar|banner|block|bottom|box|button|buttons|col|container|content|form|group|icons|inner|items|left|link|links|list|message|outer|panel|posts|right|row|section|slot|space|stories|text|top|unit|wrap|wrapper|zone|[0-9]+"
+NAMED = re.compile(rf"(?:^|[\s_-])(?:(?:{_ANYWHERE})(?=$|[\s_-])|(?:{_LAST})(?:[_-](?:{_LAYOUT}))*(?=$|\s))", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"}
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main)(?:[\s_-]?(?:body|content|text))?(?=$|[\s])", re.I)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -55,9 +59,20 @@ class Block:
         self.path, self.main, self.bad, self.text, self.linked = path, main, bad, text, linked
 
 
-def read(page: str) -> tuple[list[Block], dict[str, int]]:
-    """(text blocks in page order, how often each element path occurs)."""
+#: Characters from which the upper part of a path is written as a code; `above` leads from the code back to it.
+LONG = 400
+
+
+def parent(path: str, above: dict[str, str]) -> str:
+    """The path of the element above."""
+    up = path.rpartition("/")[0]
+    return above.get(up, up)
+
+
+def read(page: str) -> tuple[list[Block], dict[str, int], dict[str, str]]:
+    """(text blocks in page order, how often each element path occurs, the upper parts of long paths by code)."""
     blocks: list[Block] = []
+    above_of: dict[str, str] = {}
     paths: dict[str, int] = {}
     stack: list[tuple[str, str, str, bool]] = [("", "", "", False)]  # name, path, path of main ("": outside), boilerplate
     parts: list[str] = []
@@ -123,14 +138,18 @@ def read(page: str) -> tuple[list[Block], dict[str, int]]:
         bad = bad or name in BOILERPLATE or (named and not whole) or (name == "header" and not main)
         if name == "header" and main:
             label = "~" + label
-        path = f"{above}/{name}{label}" if len(above) < 400 else above
+        if len(above) >= LONG:
+            code = f"#{_code(above)}"
+            above_of[code] = above
+            above = code
+        path = f"{above}/{name}{label}"
         if not main and not bad and (name in ("article", "main") or main_named):
             main = path
         if not attrs.rstrip().endswith("/") or name not in INLINE:
             stack.append((name, path, main, bad))
         paths[path] = paths.get(path, 0) + 1
     flush()
-    return blocks, paths
+    return blocks, paths, above_of
 
 
 def _named(attrs: str) -> tuple[bool, bool, str]:
@@ -142,7 +161,7 @@ def _named(attrs: str) -> tuple[bool, bool, str]:
     itemprop = got.get("itemprop", "").lower()
     bad = hidden or role in ROLES or bool(names and NAMED.search(names)) or got.get("aria-hidden") == "true"
     main = role in ("main", "article") or itemprop == "articlebody" or bool(names and MAIN.search(names))
-    return bad and not main, main, "." + ".".join(names.split()[:2]).replace("/", "_") if names else ""
+    return bad and not main, main, "." + ".".join(names.split()).replace("/", "_") if names else ""
 
 
 def _code(x: str) -> int:
@@ -153,10 +172,10 @@ def _textual(step: str) -> bool:
     return re.split(r"[.~]", step, maxsplit=1)[0] in TEXTUAL
 
 
-def _container(path: str) -> str:
+def _container(path: str, above: dict[str, str]) -> str:
     """The nearest element at or above the path that is not one of running text."""
     while path and _textual(path.rpartition("/")[2]):
-        path = path.rpartition("/")[0]
+        path = parent(path, above)
     return path
 
 
@@ -173,8 +192,8 @@ def tokens(pages: DataFrame) -> DataFrame:
         for b in batches:
             layouts, found = [], []
             for text in b.column("html").to_pylist():
-                blocks, paths = read(text or "")
-                layout = _code("\n".join(sorted({_container(p) for p in paths})))
+                blocks, paths, above = read(text or "")
+                layout = _code("\n".join(sorted({_container(p, above) for p in paths})))
                 own = [(layout, 1, False, None, 0)] + [(_code(p), n, False, None, 0) for p, n in paths.items()]
                 seen: dict = {}
                 for x in blocks:
@@ -182,7 +201,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                     if key in seen:
                         seen[key][1] += len(x.text)
                     else:
-                        seen[key] = [None if x.bad else x.main or _container(x.path), len(x.text)]
+                        seen[key] = [None if x.bad else x.main or _container(x.path, above), len(x.text)]
                 slots = {x: None if x is None else _code(x) for x, _ in seen.values()}
                 own += [(_code(p + "\0" + t), 1, True, slots[x], size) for (p, t), (x, size) in seen.items()]
                 layouts.append(layout)
@@ -217,28 +236,34 @@ def templates(pages: DataFrame) -> DataFrame:
     return t.select("host", "page", "layout").join(slots, ["host", "layout"], "left").join(on_page, ["host", "page"], "left").drop("layout")
 
 
-def _inside(path: str, main: str, slot: int, known: dict) -> bool:
+def _inside(path: str, main: str, slot: int, known: dict, above: dict[str, str]) -> bool:
     """Whether a block is in the slot: its main element, or an element at or above its path, has that code."""
     key = (path, main)
     if key not in known:
         at, found = path, bool(main) and _code(main) == slot
         while at and not found:
             found = _code(at) == slot
-            at = at.rpartition("/")[0]
+            at = parent(at, above)
         known[key] = found or (not at and _code("") == slot)
     return known[key]
 
 
+def _under(path: str, top: str, above: dict[str, str]) -> bool:
+    while path and path != top:
+        path = parent(path, above)
+    return path == top
+
+
 def extract(page: str | None, texts: frozenset | set = frozenset(), slot: int | None = None, fixed: frozenset | set = frozenset()) -> str:
     """The main text of one page, given its shared texts, its layout's slot and the texts that come with the layout."""
     if not page:
         return ""
-    blocks, _ = read(page)
+    blocks, _, above = read(page)
     good = [b for b in blocks if not b.bad]
     chosen = []
     if slot is not None:
         known: dict = {}
-        chosen = [b for b in good if _inside(b.path, b.main, slot, known) and (b.main or b.linked * 2 < max(1, len(b.text)))]
+        chosen = [b for b in good if _inside(b.path, b.main, slot, known, above) and (b.main or b.linked * 2 < max(1, len(b.text)))]
         chosen = [b for b in chosen if not (fixed and _code(b.path + "\0" + b.text) in fixed)] or chosen
     if not chosen:
         chosen = [b for b in good if b.main]
@@ -249,17 +274,15 @@ def extract(page: str | None, texts: frozenset | set = frozenset(), slot: int |
         good = own or good
         weight: dict = {}
         for b in good:
-            above = b.path.rpartition("/")[0]
-            weight[above] = weight.get(above, 0) + len(b.text)
+            up = parent(b.path, above)
+            weight[up] = weight.get(up, 0) + len(b.text)
         if weight:
             top = max(weight, key=lambda k: (weight[k], k))
-            chosen = [b for b in good if (b.path + "/").startswith(top + "/")]
+            chosen = [b for b in good if _under(b.path, top, above)]
     kept = []
     for b in chosen:
         if "/header~" in b.path and b.path.rpartition("/")[2].split(".")[0] not in HEADINGS:
             continue
-        if b.main and b.linked == len(b.text) and "/li" in b.path:
-            continue
         kept.append(b.text)
     return "\n\n".join(kept)
 

@@ -64,6 +64,18 @@ def test_html_extract():
     assert html.extract("<div class='nav'>x</div><div><p>Long one.</p><p>Second</p></div>") == "Long one.\n\nSecond"
 
 
+def test_html_names_and_depth(spark):
+    assert html.extract("<article><p>first</p><math-block>x</math-block><button-group>y</button-group><p>a <math><mi>z</mi></math></p><ul><li><a href=r>ref one</a></li></ul></article>") == "first\n\nx\n\ny\n\na z\n\nref one"
+    for name, stays in (("related-work", True), ("notice-period", True), ("related-posts", False), ("site-notice", False), ("ad-slot", False), ("adhoc", True), ("comment-list", False), ("cookie_bar box", False)):
+        assert (html.extract(f"<article><p>a</p><div class='{name}'><p>b</p></div></article>") == "a\n\nb") == stays, name
+    # far below the length at which paths are shortened, texts still find their slot and their names
+    deep, end = "".join(f"<div class='level-{k} of-the-page c{k} d{k}'>" for k in range(60)), "</div>" * 60
+    own = [" ".join(f"w{k * 50 + j}" for j in range(40)) for k in range(4)]
+    rows = [(f"http://p.example/{k}", f"<body><div id=z>Shared line above</div><div id=s>{deep}<section><p>{own[k]}</p></section><div class=related-posts><p>other {k}</p></div>{end}</div></body>", own[k]) for k in range(4)]
+    got = {r.url: r.main_text for r in html.with_main_text(spark.createDataFrame([r[:2] for r in rows], "url string, html string")).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_html_template(spark):
     body = "<div><div>Shared notice of this site</div><div><p>Own text %d of the page with words</p><p>more %d</p></div></div>"
     df = spark.createDataFrame([(k, f"http://h.example/{k}", body % (k, k), "x") for k in range(6)] + [(7, None, None, "x"), (8, "odd", "<p>alone</p>", "x")], "page_id long, url string, html string, main_text string")
