@@ -37,7 +37,8 @@ def request_path(request_line: Column) -> Column:
 def parse_clf_timestamp(c: Column) -> Column:
     """`dd/MMM/yyyy:HH:mm:ss zone` as a timestamp without zone; the zone is neither checked nor used."""
     parts = F.split(c, " ")
-    month = F.concat(F.regexp_extract(parts[0], "^([^/]*)/", 1), F.lit("/"), F.initcap(F.regexp_extract(parts[0], "/([^/]*)/", 1)), F.regexp_extract(parts[0], "^[^/]*/[^/]*(/.*)$", 1))
+    at = F.instr(parts[0], "/")
+    month = F.concat(F.substr(parts[0], F.lit(1), at), F.initcap(F.substr(parts[0], at + 1, F.lit(3))), F.substr(parts[0], at + 4))
     return F.when(F.size(parts) == 2, F.try_to_timestamp(month, F.lit("d/MMM/yyyy:H:m:s")).cast("timestamp_ntz"))
 
 

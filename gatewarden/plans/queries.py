@@ -69,7 +69,13 @@ class Tables:
 
     @property
     def lines(self):
-        return self._once("access_log", lambda: derived.access_log(self.spark, self.sf_dir))
+        """Dealt out to all cores where the input has fewer files than there are cores: parsing is the costly part."""
+
+        def build():
+            found, cores = derived.access_log(self.spark, self.sf_dir), self.spark.sparkContext.defaultParallelism
+            return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
+
+        return self._once("access_log", build)
 
     @property
     def parsed(self):
