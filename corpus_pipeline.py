@@ -15,7 +15,7 @@ STAGES = [
     ("packing", stages.pack),
 ]
 
-#: The classifier, the tokenizer and the packing have no SQL form; tests compare near_duplicates with plain Python, and run the others.
+#: The classifier, the tokenizer and the packing have no SQL form; tests compare every stage with plain Python.
 ORACLE_SQL = None
 
 

@@ -2,14 +2,15 @@
 
 Each word's script, by code point range, narrows the candidate languages; letter trigrams score the word under
 each candidate; Viterbi over the words, with a penalty for a switch, labels spans. A text's language is that
-of most labelled bytes, its score their share.
+of most labelled bytes, its score their share. The spans themselves are in lang_spans: runs of words of one
+language, first byte and end in the text in lower case (as long as the text, but for a few letters).
 
 Trigrams are counted over all training rows into BUCKETS hashed counters a language (the bound of the model's
 size); words are runs of letters a-z and of bytes from 0x80 on, in lower case.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with no training rows all are;
 ties go to the language first in the alphabet; repeated rows are labelled alike; extra columns stay, and those
-named like a result are replaced.
+named like a result are replaced; an empty table gives an empty table. Labels are 16-bit, for up to 32,767 languages.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, plus, table, utf8, word_spans
+from .common import blocks, plus, released, table, utf8, word_spans
 
 BUCKETS, PENALTY, PIECE, BLOCK = 1 << 15, 6.0, 256, 2 << 20
 #: Share of a language's words that must be in a script for the script to allow it.
@@ -107,7 +108,7 @@ def label_words(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY)
     at once; a row's pieces are then joined in order, and each is traced back from its known end.
     """
     n_words, n_lang = score.shape
-    out = np.zeros(n_words, np.int8)
+    out = np.zeros(n_words, np.int16)
     if not n_words:
         return out
     per_row = np.diff(first)
@@ -127,7 +128,7 @@ def label_words(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY)
         b = best[:m]
         best[:m] = np.maximum(b, b.max(2, keepdims=True) - penalty) + score[start[:m] + t][:, None, :]
     entry = np.zeros((n, n_lang), np.float32)
-    before = np.zeros((n, n_lang), np.int8)
+    before = np.zeros((n, n_lang), np.int16)
     by_row = np.full((len(per_row), int(counts.max())), -1)
     by_row[row, nth] = np.arange(n)
     last = np.zeros((len(per_row), n_lang), np.float32)
@@ -139,21 +140,21 @@ def label_words(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY)
         joined = last[rows][:, :, None] + best[p]
         before[p] = joined.argmax(1)
         last[rows] = joined.max(1)
-    end = np.zeros(n, np.int8)
-    state = last.argmax(1).astype(np.int8)
+    end = np.zeros(n, np.int16)
+    state = last.argmax(1).astype(np.int16)
     for k in reversed(range(by_row.shape[1])):
         p = by_row[:, k]
         rows = np.flatnonzero(p >= 0)
         p = p[rows]
         end[p] = state[rows]
         state[rows] = before[p, state[rows]]
-    came = np.zeros((PIECE, n, n_lang), np.int8)
+    came = np.zeros((PIECE, n, n_lang), np.int16)
     value = np.maximum(entry, entry.max(1, keepdims=True) - penalty) + score[start]
-    own = np.arange(n_lang, dtype=np.int8)
+    own = np.arange(n_lang, dtype=np.int16)
     for t in range(1, int(size[0])):
         m = open_[t]
         v = value[:m]
-        top = v.argmax(1).astype(np.int8)
+        top = v.argmax(1).astype(np.int16)
         high = v.max(1, keepdims=True) - penalty
         came[t, :m] = np.where(v >= high, own, top[:, None])
         value[:m] = np.maximum(v, high) + score[start[:m] + t]
@@ -166,12 +167,12 @@ def label_words(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY)
     return out
 
 
-def predict(model: Model, arr: pa.Array) -> tuple[list[str], np.ndarray]:
+def predict(model: Model, arr: pa.Array) -> tuple[list[str], np.ndarray, list[list[dict]]]:
     data, offsets = lowered(arr)
     has = pc.fill_null(pc.match_substring_regex(arr.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-    langs, shares = ["und"] * len(arr), np.zeros(len(arr))
+    langs, shares, spans = ["und"] * len(arr), np.zeros(len(arr)), [[] for _ in range(len(arr))]
     if not model.langs:
-        return langs, shares
+        return langs, shares, spans
     for x, y in blocks(offsets, BLOCK):
         bucket, at, starts, ends, first, script = features(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
         if not len(starts):
@@ -184,20 +185,29 @@ def predict(model: Model, arr: pa.Array) -> tuple[list[str], np.ndarray]:
         top = weight.argmax(1)
         for k in np.flatnonzero(has[x:y] & (weight.sum(1) > 0)):
             langs[x + k], shares[x + k] = model.langs[top[k]], weight[k, top[k]] / weight[k].sum()
-    return langs, shares
+        new = np.ones(len(label), bool)
+        new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(label)) - 1
+        base = offsets[x : y + 1] - offsets[x]
+        for k, s, e, g in zip(doc[at].tolist(), (starts[at] - base[doc[at]]).tolist(), (ends[last] - base[doc[at]]).tolist(), label[at].tolist(), strict=True):
+            if has[x + k]:
+                spans[x + k].append({"start": s, "end": e, "lang": model.langs[g]})
+    return langs, shares, spans
 
 
 def with_language(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """documents with lang_pred and score."""
-    base = documents.drop("lang_pred", "score")
+    """documents with lang_pred, score and lang_spans."""
+    base = documents.drop("lang_pred", "score", "lang_spans")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
     known = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            langs, shares = predict(known.value, b.column(text))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(shares, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            langs, shares, spans = predict(known.value, b.column(text))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, kind)], names=[*b.schema.names, "lang_pred", "score", "lang_spans"])
 
-    return base.mapInArrow(run, plus(base, lang_pred="string", score="double"))
+    return base.mapInArrow(released(run), plus(base, lang_pred="string", score="double", lang_spans="array<struct<start: long, end: long, lang: string>>"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,8 @@ def combinations(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """min |ax - b| with x >= 0: the active-set method."""
+    """min |ax - b| with x >= 0: the active-set method. Stopped after `rounds` it is not the minimum yet, but still a
+    plan: documents without a slot are packed end to end."""
     x = np.zeros(a.shape[1])
     used = np.zeros(a.shape[1], bool)
     for _ in range(rounds):

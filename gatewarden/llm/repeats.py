@@ -13,7 +13,12 @@ strings share a 64-bit code with a chance near 1e-4 for 100 million ranks of one
 
 Defined results: null and empty texts have no bytes and the hash of nothing; texts shorter than `length` lose
 nothing; rows with equal ids (repeated rows) do not count against each other; a null id is larger than all
-others; extra columns are ignored; an empty table gives an empty table.
+others; extra columns are ignored; an empty table gives an empty table. Ids are whole numbers, as smaller ones come
+first; others are an error. A text is never split: a task holds about a hundred bytes for each byte of its longest.
+
+Prefix doubling over all positions would send 16 bytes for each byte of text and round. The sampled first round, and
+whole runs in the second, stand in for the rounds of growing offsets: they only settle windows whose answer is known,
+and the last round ranks pairs at a growing offset for those left.
 """
 
 from __future__ import annotations

@@ -139,7 +139,30 @@ def test_language(spark, docs, empty):
     model = langid.train(docs.where("lang IS NOT NULL"))
     odd = {r.doc_id: (r.lang_pred, r.score) for r in langid.with_language(docs, model).collect()}
     assert odd[0] == odd[1] == odd[2] == ("und", 0.0) and odd[5][0] == "en"
-    assert {r.lang_pred for r in langid.with_language(docs, langid.train(empty)).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.with_language(docs, langid.train(empty)).collect()} == {"und"} and langid.with_language(empty, model).count() == 0
+
+
+def test_language_spans(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND n_chars BETWEEN 300 AND 3000")
+    model = langid.train(given)
+    rng, by_lang = random.Random(4), {}
+    for r in given.orderBy("doc_id").limit(200).collect():
+        by_lang.setdefault(r.lang, []).append(r.text.lower())
+    names = sorted(by_lang)
+    rows = [(k, rng.choice(by_lang[a]), a, rng.choice(by_lang[b]), b) for k in range(20) for a, b in [rng.sample(names, 2)]]
+    got = {r.doc_id: r for r in langid.with_language(spark.createDataFrame([(k, f"{x} {y}") for k, x, _, y, _ in rows], "doc_id long, text string"), model).collect()}
+    right = whole = 0
+    for k, x, a, y, b in rows:
+        cut = len(x.encode()) + 1
+        assert got[k].lang_pred in (a, b) and [s.start for s in got[k].lang_spans] == sorted(s.start for s in got[k].lang_spans)
+        for s in got[k].lang_spans:
+            whole += s.end - s.start
+            right += max(0, min(s.end, cut) - s.start) if s.lang == a else max(0, s.end - max(s.start, cut)) if s.lang == b else 0
+    assert right > 0.95 * whole
+    # more languages than 8 bits hold
+    many = langid.Model([f"l{k:03}" for k in range(300)], np.zeros((langid.BUCKETS, 300), np.float32), np.ones((len(langid.NAMES), 300), bool))
+    many.scores[:, 299] = 1
+    assert langid.predict(many, pa.array(["some words"]))[0] == ["l299"]
 
 
 def test_repeats(docs, empty):
