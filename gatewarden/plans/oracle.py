@@ -207,7 +207,7 @@ def oracle_sql() -> dict[str, str]:
         "automated_session_pattern": sql(body(LOW, "automated_session_pattern")),
         "attach_country": sql("SELECT line_number, ip, country FROM geo", True),
         "rapid_geographic_changes": sql(body(DEFAULT, "rapid_geographic_changes"), True),
-        "geo_change_periods": sql("SELECT a.ip, a.sec, a.pos, count(DISTINCT b.country) AS count, array_to_string(list_sort(list(DISTINCT b.country)), '|') AS countries FROM geo a JOIN geo b ON a.ip = b.ip AND b.pos >= a.pos AND b.sec <= a.sec + 3600 GROUP BY ALL HAVING count(DISTINCT b.country) >= 3", True),
+        "geo_change_periods": sql("SELECT a.ip, a.sec, a.pos, count(DISTINCT b.country) AS count, array_to_string(list_sort(list(DISTINCT b.country)), '|') AS countries FROM g a JOIN g b ON a.ip = b.ip AND b.pos >= a.pos AND b.sec <= a.sec + 3600 GROUP BY ALL HAVING count(DISTINCT b.country) >= 3", True, "g AS (SELECT ip, sec, country, row_number() OVER (PARTITION BY ip ORDER BY pos) AS pos FROM geo)"),
         "high_risk_country_activity": sql(body(LOW, "high_risk_country_activity"), True),
         "impossible_travel": sql(body(DEFAULT, "impossible_travel"), True),
         "normalize_abuseipdb": sql("SELECT * FROM abuse2", True),
