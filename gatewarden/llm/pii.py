@@ -10,8 +10,8 @@ is applied as an expression.
 
 Defined results: null and empty texts have no spans; of added spans that overlap, the kind listed first stays;
 repeated rows are judged alike; extra columns stay, and those named like a result are replaced; with no candidate at
-all the classifier says no; an empty table gives an empty table. Work grows with the length of a text, and, as its
-matches are appended to one array, with the square of the matches of one kind in one text.
+all the classifier says no; an empty table gives an empty table. Work grows with the length of a text: its matches are
+placed in parts of PART, so that no long array is copied for each match.
 """
 
 from __future__ import annotations
@@ -58,6 +58,8 @@ NOT_NAMES = [
 LABELERS = 5
 #: Added spans need at least this probability.
 LEAST = 0.9
+#: Matches of a text are placed in parts of so many, and the parts then moved.
+PART = 256
 
 
 def find_all(text: Column, pattern: str, context: bool = False) -> Column:
@@ -65,6 +67,7 @@ def find_all(text: Column, pattern: str, context: bool = False) -> Column:
     up to 32 characters before and 16 after, as far as the next match."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
     pairs = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+    names = ["start", "text", *(["before", "after"] if context else [])]
     fields = "start: int, text: string" + (", before: string, after: string" if context else "")
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
 
@@ -72,15 +75,24 @@ def find_all(text: Column, pattern: str, context: bool = False) -> Column:
         around = [F.substring(x["gap"], -32, 32).alias("before"), F.substring(F.coalesce(x["next"], F.lit("")), 1, 16).alias("after")] if context else []
         return F.struct((acc["at"] + F.char_length(x["gap"])).alias("start"), x["hit"].alias("text"), *around)
 
-    walked = F.aggregate(
-        pairs,
-        empty,
-        lambda acc, x: F.struct(
+    def step(acc, x):
+        return F.struct(
             (acc["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("at"),
             F.when(x["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one(acc, x))).alias("out"),
-        ),
-    )
-    return F.when(F.size(found) > 0, walked["out"]).otherwise(empty["out"])
+        )
+
+    def joined(parts: Column) -> Column:
+        """Spans of all parts, moved by what stands before their part."""
+        offsets = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+        moved = lambda o: lambda x: F.struct((x["start"] + o).alias("start"), *(x[k].alias(k) for k in names[1:]))
+        return F.flatten(F.zip_with(parts, offsets, lambda p, o: F.transform(p["out"], moved(o))))
+
+    def cut(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(whole), F.lit(PART))
+        return F.transform(starts, lambda k: F.aggregate(F.slice(whole, k, F.lit(PART)), empty, step))
+
+    spans = F.element_at(F.transform(F.array(F.element_at(F.transform(F.array(pairs), cut), 1)), joined), 1)
+    return F.when(F.size(found) > 0, spans).otherwise(empty["out"])
 
 
 def _digits(x: Column) -> Column:
@@ -312,5 +324,6 @@ def masked(text: Column, spans: Column) -> Column:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_spans(docs, train(docs)).select("doc_id", "base", "spans")
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *(count(k) for k in range(4)), F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    base, added = ([count(k) for k in kinds] for kinds in (range(4), ADDED))
+    return found.select("doc_id", *base, F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"), *added, F.size("spans").cast("long").alias("n_spans"))

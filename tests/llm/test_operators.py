@@ -288,6 +288,10 @@ def test_pii_base(spark, docs, empty):
     for r in pii.with_spans(df.withColumn("base", F.lit(1)), model).collect():
         assert [(s.start, s.kind, s.end) for s in r.base] == base_spans(r.text)
         assert set(r.base) <= set(r.spans)
+    many = " é😀 ".join(f"a{k}@b.c, 1.2.3.{k % 300} Anna Smith" for k in range(pii.PART * 10 + 1))
+    held = pii.with_spans(spark.createDataFrame([(many,)], "text string"), model).select("base", pii.find_all(F.col("text"), pii.PERSON, True).alias("p")).first()
+    assert [(s.start, s.kind, s.end) for s in held.base] == base_spans(many)
+    assert len(held.p) == pii.PART * 10 + 1 and all(many[x.start : x.start + 10] == x.text and many[: x.start].endswith(x.before) for x in held.p)
     assert pii.with_spans(empty, pii.train(empty)).count() == 0
     secret = spark.createDataFrame([(1, 'x token = "0123456789abcdef0123456789abcdef01234567" y a@b.co')], "doc_id long, text string")
     assert [s.kind for s in pii.with_spans(secret, pii.train(empty)).first().spans] == [0]
