@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import SCANNING
 from ..functions.text import seconds
 from ..params import DEFAULT, DetectorParams
-from .windows import positioned, second_totals, window_counts, window_distinct, window_items, window_peaks
+from .windows import in_seconds, positioned, second_totals, window_counts, window_distinct, window_items, window_peaks
 
 REF = ("file_path", "line_number", "ts", "request_line", "status", "user_agent", "referer", "bytes_sent")
 INPUT = ("file_path", "line_number")  # input order
@@ -125,13 +125,13 @@ def _first_paths(found: DataFrame, rows: DataFrame, w: int, k: int = 20) -> Data
 
 
 def path_enumeration(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
-    many = _many_paths(entries, p)
-    rows = positioned(entries.join(many, "ip", "left_semi"))
+    paths = entries.groupBy("ip", "path").agg(F.count("*").alias("n"))
+    many = paths.groupBy("ip").agg(F.count("path").alias("total_paths"), F.sum("n").alias("n")).where((F.col("total_paths") >= p.unique_paths_threshold) & (F.col("n") >= 10)).drop("n")
+    rows = in_seconds(entries.join(many, "ip", "left_semi"))
     periods = window_distinct(rows, p.scan_window, "path").where(F.col("n_distinct") >= p.unique_paths_threshold).groupBy("ip").agg(F.max("n_distinct").alias("max_paths"), F.count("*").alias("periods"))
-    paths = entries.select("ip", "path").where("path IS NOT NULL").distinct()
     # only the first 20 of each address are ordered
-    top = paths.withColumn("k", F.row_number().over(Window.partitionBy("ip").orderBy("path"))).where("k <= 20").groupBy("ip").agg(F.sort_array(F.collect_list("path")).alias("sample_paths"))
-    g = periods.join(paths.groupBy("ip").agg(F.count("*").alias("total_paths")), "ip").join(top, "ip").join(entries.groupBy("ip").agg(_last(TIME)), "ip")
+    top = paths.where("path IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("ip").orderBy("path"))).where("k <= 20").groupBy("ip").agg(F.sort_array(F.collect_list("path")).alias("sample_paths"))
+    g = periods.join(many, "ip").join(top, "ip").join(entries.groupBy("ip").agg(_last(TIME)), "ip")
     m = F.col("max_paths")
     return _finding(g, "Path Enumeration Scan", "path_enumeration", F.least(60 + m * 2, F.lit(90)), F.concat(F.lit("Detected scanning of "), m, F.lit(" unique paths from IP "), "ip"), "max_paths", "periods", "total_paths", "sample_paths")
 

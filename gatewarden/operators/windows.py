@@ -13,18 +13,21 @@ BEFORE = (Window.unboundedPreceding, -1)
 SPAN = 3600
 
 
-def positioned(entries: DataFrame, *keep: str) -> DataFrame:
-    """Narrow rows in time order (stable): ip, sec, pos from 1, line, path, status, failed, and columns to keep.
-
-    Rows before a second are known from the counts of seconds; rows are ordered within their second only.
-    """
+def in_seconds(entries: DataFrame, *keep: str) -> DataFrame:
+    """Narrow rows with their place in time order (stable) within their second: ip, sec, pos from 1 in each second,
+    line, path, status, failed, and columns to keep."""
     from ..functions.text import seconds
 
     narrow = entries.select("ip", seconds(F.col("ts")).alias("sec"), "file_path", "line_number", "path", F.when(F.col("status").isin(401, 403), 1).otherwise(0).alias("failed"), *keep)
-    counts = narrow.groupBy("ip", "sec").agg(F.count("*").alias("n"))
+    return narrow.withColumn("pos", F.row_number().over(Window.partitionBy("ip", "sec").orderBy("file_path", "line_number")))
+
+
+def positioned(entries: DataFrame, *keep: str) -> DataFrame:
+    """in_seconds with pos from 1 over all rows of an address: rows before a second are known from the counts of seconds."""
+    inside = in_seconds(entries, *keep)
+    counts = inside.groupBy("ip", "sec").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("ip").orderBy("sec").rowsBetween(*BEFORE)), F.lit(0))).drop("n")
-    inside = narrow.withColumn("k", F.row_number().over(Window.partitionBy("ip", "sec").orderBy("file_path", "line_number")))
-    return inside.join(before, ["ip", "sec"]).withColumn("pos", (F.col("before") + F.col("k")).cast("int")).drop("before", "k")
+    return inside.join(before, ["ip", "sec"]).withColumn("pos", (F.col("before") + F.col("pos")).cast("int")).drop("before")
 
 
 def second_totals(rows: DataFrame, windows: dict[str, int], flag: str = "failed") -> DataFrame:
@@ -62,7 +65,8 @@ def _islands(rows: DataFrame, w: int, item: str) -> DataFrame:
 
 
 def window_distinct(rows: DataFrame, w: int, item: str) -> DataFrame:
-    """For every row: how many distinct items the window [sec, sec + w] holds from that row on (interval sweep)."""
+    """For every row: how many distinct items the window [sec, sec + w] holds from that row on (interval sweep). pos may
+    be the place in the second alone: only rows of one second are compared by it."""
     spans = _islands(rows, w, item)
     null = F.lit(None).cast("long")
     up = spans.select("ip", (F.col("first") - w).alias("t"), F.lit(-1).alias("p"), F.lit(0).alias("kind"), F.lit(1).alias("d"), null.alias("sec"), F.lit(None).cast("int").alias("pos"))
