@@ -10,8 +10,9 @@ is applied as an expression.
 
 Defined results: null and empty texts have no spans; of added spans that overlap, the kind listed first stays;
 repeated rows are judged alike; extra columns stay, and those named like a result are replaced; with no candidate at
-all the classifier says no; an empty table gives an empty table. Work grows with the length of a text: its matches are
-placed in parts of PART, so that no long array is copied for each match.
+all the classifier says no; an empty table gives an empty table. The matches of a text are placed in parts of PART, so
+that no long array is copied for each match; overlaps are still sought by comparing its candidates with its base spans
+and the added ones with each other, which grows with the product of their numbers in one text.
 """
 
 from __future__ import annotations
