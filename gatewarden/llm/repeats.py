@@ -180,13 +180,12 @@ def _send(chunks: DataFrame, round_: int, ranges: int, length: int) -> DataFrame
     """(range, chunk, codes, documents): the sorted ranks of a round, cut by range."""
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(3)
         for b in batches:
             for r in b.to_pylist():
                 chunk = Chunk(r["ids"], r["sizes"], r["packed"], length)
                 got = _work(chunk, r.get("replies"), ranges, round_ - 1)[round_]
                 codes, low, counts = got[:3]
-                docs, local = np.unique(low, return_inverse=True)
-                table_ = zstandard.compress(np.diff(docs, prepend=0).astype(np.int64).tobytes())
                 ends = np.cumsum(counts)
                 rows: dict = {k: [] for k in ("range", "codes", "local", "docs", "samples")}
                 for k in np.flatnonzero(counts):
@@ -194,8 +193,10 @@ def _send(chunks: DataFrame, round_: int, ranges: int, length: int) -> DataFrame
                     rows["range"].append(int(k))
                     # the first round only looks for other chunks with a sample: 32 bits beside the range will do
                     rows["codes"].append((codes[part].astype(np.uint32) if round_ == 1 else codes[part]).tobytes())
-                    rows["local"].append(local[part].astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes() if round_ > 1 else b"")
-                    rows["docs"].append(table_ if round_ > 1 else b"")
+                    # documents as places in a table of the part's own, so that a row grows with its codes only
+                    docs, local = np.unique(low[part], return_inverse=True) if round_ > 1 else (low[:0], low[:0])
+                    rows["local"].append(local.astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes())
+                    rows["docs"].append(pack.compress(np.diff(docs, prepend=0).astype(np.int64).tobytes()) if round_ > 1 else b"")
                     rows["samples"].append(got[3][part].astype(np.uint32).tobytes() if round_ == 2 else b"")
                 n = len(rows["range"])
                 yield pa.RecordBatch.from_arrays(
