@@ -27,18 +27,35 @@ def _first(text: Column, group: str) -> Column:
     return F.when(text.rlike(FLAGS + "|".join(f"(?:{p})" for p, _ in KEYWORDS[group])), out)
 
 
-def keyword_findings(entries: DataFrame, groups=tuple(KEYWORDS)) -> DataFrame:
-    """At most one finding per entry, field and group."""
-    targets = unpivot_targets(entries).withColumn("decoded", url_decode_text(F.col("text")))
-    hits = targets.withColumn("hit", F.explode(F.array_compact(F.array(*(_first(F.col("decoded"), g) for g in groups)))))
-    title = F.create_map(*(F.lit(x) for pair in TITLES.items() for x in pair))[F.col("hit.pattern_type")]
+def hits_in(groups=tuple(KEYWORDS)) -> Column:
+    """What the text fields of an entry hit: at most one pattern for each field and group, in their order."""
+
+    def of_field(field: str) -> Column:
+        decoded = url_decode_text(F.col(field))
+        hits = F.transform(F.array(decoded), lambda d: F.array_compact(F.array(*(_first(d, g) for g in groups))))[0]
+        found = F.transform(hits, lambda h: F.struct(F.lit(field).alias("field"), h.alias("hit"), F.substring(decoded, 1, 200).alias("decoded_text"), F.substring(F.col(field), 1, 200).alias("original_text")))
+        return F.when(F.col(field) != "", found)
+
+    return F.flatten(F.array_compact(F.array(*(of_field(f) for f in ("request_line", "user_agent", "referer")))))
+
+
+def findings_of(rows: DataFrame) -> DataFrame:
+    """rows with `hits` as findings, one for each."""
+    hits = rows.withColumn("x", F.explode("hits"))
+    kind = F.col("x.hit.pattern_type")
+    title = F.create_map(*(F.lit(x) for pair in TITLES.items() for x in pair))[kind]
     return hits.select(
-        *entries.columns, "field", "hit.pattern_type", "hit.pattern", "hit.risk_score", "hit.matched_text",
+        *(c for c in rows.columns if c != "hits"), "x.field", kind.alias("pattern_type"), "x.hit.pattern", "x.hit.risk_score", "x.hit.matched_text",
         F.concat(F.lit("Keyword Match - "), title).alias("finding_type"),
-        F.concat(F.lit("Detected "), F.replace("hit.pattern_type", F.lit("_"), F.lit(" ")), F.lit(" pattern in "), "field", F.lit(": '"), "hit.matched_text", F.lit("'")).alias("description"),
-        F.substring("decoded", 1, 200).alias("decoded_text"), F.substring("text", 1, 200).alias("original_text"),
+        F.concat(F.lit("Detected "), F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(" pattern in "), "x.field", F.lit(": '"), "x.hit.matched_text", F.lit("'")).alias("description"),
+        "x.decoded_text", "x.original_text",
     )
 
 
+def keyword_findings(entries: DataFrame, groups=tuple(KEYWORDS)) -> DataFrame:
+    """At most one finding per entry, field and group."""
+    return findings_of(entries.withColumn("hits", hits_in(groups)).where("size(hits) > 0"))
+
+
 def keyword_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("pattern_type", "field").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 _detectors: dict[str, Callable] = {}
+_entry_detectors: dict[str, Callable] = {}
 _parsers: dict[str, Callable] = {}
 _providers: dict[str, Callable] = {}
 
@@ -14,6 +15,12 @@ def register_detector(name: str, fn: Callable) -> None:
     _detectors[name] = fn
 
 
+def register_entry_detector(name: str, fn: Callable) -> None:
+    """fn(entry as a dict) -> findings as dicts with finding_type, pattern_type, risk_score, description and more. It may
+    raise: the entry is then counted as an error of this detector, and the others go on."""
+    _entry_detectors[name] = fn
+
+
 def register_parser(name: str, fn: Callable) -> None:
     """fn(lines) -> entry columns and error: asked for lines of a format that the access-log parser does not know."""
     _parsers[name] = fn
@@ -28,6 +35,10 @@ def detectors() -> dict[str, Callable]:
     return dict(_detectors)
 
 
+def entry_detectors() -> dict[str, Callable]:
+    return dict(_entry_detectors)
+
+
 def parsers() -> dict[str, Callable]:
     return dict(_parsers)
 
@@ -37,5 +48,5 @@ def providers() -> dict[str, Callable]:
 
 
 def unregister(name: str) -> None:
-    for names in (_detectors, _parsers, _providers):
+    for names in (_detectors, _entry_detectors, _parsers, _providers):
         names.pop(name, None)

@@ -163,6 +163,14 @@ pub AS (SELECT ip, contains(ip, ':') OR NOT regexp_matches(ip, '^(0|10|127)[.]|^
 SEVERITY = "count(*) AS total, count(*) FILTER (risk_score BETWEEN 80 AND 100) AS high, count(*) FILTER (risk_score BETWEEN 50 AND 79) AS medium, count(*) FILTER (risk_score BETWEEN 20 AND 49) AS low, count(*) FILTER (risk_score BETWEEN 1 AND 19) AS info"
 
 
+ITEM = "try_cast(regexp_extract(request_line, '/item/([0-9]+)[?]', 1) AS BIGINT)"
+NO_ITEM = f"{ITEM} IS NULL"
+KEPT = """detector, finding_type, pattern_type, fi.ip AS ip, country, "window", risk_score, 'access.log' AS ref_file, ref_line, description"""
+_ASKED = [(p, c) for p in ("abuseipdb", "virustotal") for c in ("confidence_score", "is_malicious", "country_code")]
+EACH = ", ".join(f"max(CASE WHEN provider = '{p}' THEN {c} END) AS {p}_{c}" for p, c in _ASKED)
+ANSWERS = ", ".join(f"{p}_{c}" for p, c in _ASKED)
+
+
 def scored(text: str) -> str:
     return sql(text, True, SCORED)
 
@@ -228,7 +236,13 @@ def oracle_sql() -> dict[str, str]:
         "all_findings": scored("SELECT detector, finding_type, count(*) AS n, CAST(sum(risk_score) AS BIGINT) AS risk FROM fi GROUP BY ALL"),
         "sorted_findings": scored("SELECT detector, pattern_type, ip, risk_score, ref_line FROM fi"),
         "severity_counts": scored("SELECT * FROM sev"),
-        "detector_statistics": scored(f"SELECT detector, {SEVERITY}, (SELECT count(*) FROM e) AS entries_processed, 1e2 AS success_rate FROM fi GROUP BY detector"),
+        "detector_statistics": scored(f"SELECT detector, {SEVERITY}, entries_processed, processing_errors, (entries_processed - processing_errors) * 1e2 / entries_processed AS success_rate FROM fi, (SELECT count(*) AS entries_processed, count(*) FILTER (ip IS NULL OR ts IS NULL) AS processing_errors FROM e) GROUP BY ALL"),
+        "detector_failures": sql(f"SELECT 'items' AS detector, line_number AS ref_line FROM e WHERE {NO_ITEM}"),
+        "detector_statistics_with_failures": scored(f"SELECT detector, {SEVERITY}, (SELECT count(*) FROM e) AS entries_processed, errors AS processing_errors, round(((SELECT count(*) FROM e) - errors) * 1e2 / (SELECT count(*) FROM e), 6) AS success_rate FROM (SELECT detector, risk_score, 0 AS errors FROM fi WHERE detector IN ('keyword', 'frequency') UNION ALL SELECT 'items', {ITEM}, (SELECT count(*) FROM e WHERE {NO_ITEM}) FROM e WHERE {ITEM} >= 90) GROUP BY detector, errors"),
+        "enrich_all_findings": scored(f"SELECT {KEPT}, 'abuseipdb|virustotal' AS providers_queried, coalesce(ok, '') AS providers_successful, CASE WHEN a.ip IS NULL THEN 'abuseipdb|virustotal' WHEN NOT has_a THEN 'abuseipdb' WHEN NOT has_v THEN 'virustotal' ELSE '' END AS providers_failed, {ANSWERS} FROM fi LEFT JOIN (SELECT ip AS aip, string_agg(provider, '|' ORDER BY provider) AS ok, bool_or(provider = 'abuseipdb') AS has_a, bool_or(provider = 'virustotal') AS has_v, {EACH}, ip FROM latest GROUP BY ip) a ON a.aip = fi.ip"),
+        "malicious_all_findings": scored(f"SELECT {KEPT} FROM fi WHERE ip IN (SELECT ip FROM latest WHERE is_malicious)"),
+        "unenriched_all_findings": scored(f"SELECT {KEPT} FROM fi WHERE ip NOT IN (SELECT ip FROM latest)"),
+        "written_findings": scored(f"SELECT {KEPT}, ref_ts, request_line, status, user_agent, referer, bytes_sent FROM fi JOIN (SELECT line_number, status, bytes_sent FROM e) ON line_number = ref_line"),
         "pattern_type_counts": scored("SELECT pattern_type, count(*) AS n FROM fi GROUP BY pattern_type"),
         "extract_finding_ips": scored("SELECT ip FROM ips"),
         "public_ips": scored("SELECT ip FROM pub WHERE public"),

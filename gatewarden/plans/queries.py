@@ -103,13 +103,25 @@ class Tables:
 
     @property
     def findings(self):
-        return self._once("findings", lambda: findings.all_findings(self.entries, reputation=self.reputation))
+        return self._once("findings", lambda: findings.all_findings(self.entries, reputation=self.reputation, store=Store(self)))
 
     @property
     def scored(self):
         return self._once("scored", lambda: score.composite_risk(enrich.enrich_findings(self.findings, self.latest)))
 
 
+class Store:
+    """Writes the shared parts of one evaluation to the folder of the tables, each once, and reads them back."""
+
+    def __init__(self, tables: Tables):
+        self.spark, self.path = tables.spark, os.path.join(shared_folder(tables.spark), "tables", "parts-" + uuid.uuid4().hex)
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        path = os.path.join(self.path, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 class FullTables(Tables):
     """With reputation of all addresses (REPUTATION_ALL); the lines are shared with Tables."""
 
@@ -207,6 +219,34 @@ def _with_detector(t):
         registry.unregister("busy")
 
 
+def _items(entry: dict) -> list[dict]:
+    """An entry detector: requests for items of a high number; other requests make it fail."""
+    number = int(entry["request_line"].split("/item/")[1].split("?")[0])
+    if number < 90:
+        return []
+    return [{"finding_type": "High Item", "pattern_type": "item", "risk_score": number, "description": f"Item {number}", "number": number}]
+
+
+def _with_failures(t):
+    """Statistics of the keyword and frequency detectors and of an entry detector that fails on many entries."""
+    registry.register_entry_detector("items", _items)
+    try:
+        store = Store(t)
+        tried = findings.by_entry(t.entries, store)
+        found = findings.all_findings(t.entries, detectors=(), store=store, tried=tried)
+        return findings.detector_statistics(found, t.entries, findings.failures(t.entries, tried))
+    finally:
+        registry.unregister("items")
+
+
+def _failures(t):
+    registry.register_entry_detector("items", _items)
+    try:
+        return findings.failures(t.entries, findings.by_entry(t.entries)).select("detector", "ref_line")
+    finally:
+        registry.unregister("items")
+
+
 def _with_provider(t):
     def mirror(raw):
         score = F.get_json_object("body", "$.data.abuseConfidencePercentage").cast("int")
@@ -266,6 +306,8 @@ QUERIES = {
     "sorted_findings": lambda t: findings.sorted_findings(t.findings).select("detector", "pattern_type", "ip", "risk_score", "ref_line"),
     "severity_counts": lambda t: findings.severity_counts(t.findings),
     "detector_statistics": lambda t: findings.detector_statistics(t.findings, t.entries),
+    "detector_failures": _failures,
+    "detector_statistics_with_failures": _with_failures,
     "pattern_type_counts": lambda t: findings.pattern_type_counts(t.findings),
     "extract_finding_ips": lambda t: enrich.extract_finding_ips(t.findings),
     "public_ips": lambda t: enrich.public_ips(enrich.extract_finding_ips(t.findings)),
@@ -295,7 +337,7 @@ QUERIES = {
     "requests_over_time": lambda t: traffic.requests_over_time(t.entries),
 }
 #: What tells the findings of all detectors apart.
-KEYS = ("detector", "finding_type", "pattern_type", "ip", "country", "window", "risk_score", "ref_file", "ref_line", "details")
+KEYS = ("detector", "finding_type", "pattern_type", "ip", "country", "window", "risk_score", "ref_file", "ref_line", "description")
 
 
 def _all_enriched(t: Tables) -> DataFrame:
@@ -317,10 +359,11 @@ QUERIES |= {
     "malicious_all_findings": lambda t: enrich.malicious_findings(t.findings, t.latest).select(*KEYS),
     "unenriched_all_findings": lambda t: enrich.unenriched_findings(t.findings, t.latest).select(*KEYS),
     "write_all_findings": _all_written,
+    "written_findings": lambda t: _all_written(t).select(*KEYS, "ref_ts", "request_line", "status", "user_agent", "referer", "bytes_sent"),
 }
 
 #: The queries over reputation, again over the reputation of all addresses.
-FULL = ["attach_country", "rapid_geographic_changes", "high_risk_country_activity", "impossible_travel", "all_findings", "normalize_abuseipdb", "normalize_virustotal", "latest_reputation", "enrich_findings", "malicious_findings", "unenriched_findings", "enrich_all_findings", "malicious_all_findings", "enrichment_stats", "composite_risk", "requests_by_country"]
+FULL = ["attach_country", "geo_change_periods", "rapid_geographic_changes", "high_risk_country_activity", "impossible_travel", "all_findings", "sorted_findings", "severity_counts", "detector_statistics", "pattern_type_counts", "extract_finding_ips", "public_ips", "normalize_abuseipdb", "normalize_virustotal", "latest_reputation", "enrich_findings", "malicious_findings", "unenriched_findings", "enrich_all_findings", "malicious_all_findings", "unenriched_all_findings", "write_all_findings", "written_findings", "enrichment_stats", "composite_risk", "risk_level", "priority_findings", "executive_summary", "top_threats", "recommendations", "format_findings", "render_report", "requests_by_country", "register_provider"]
 QUERIES |= {f"{name}_full": (lambda t, build=QUERIES[name]: build(FullTables(t.spark, t.sf_dir))) for name in FULL}
 
 
