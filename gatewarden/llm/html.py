@@ -3,10 +3,12 @@
 Every page is read as tokens: the paths of its elements, its text blocks and its layout (the set of its container
 paths). Over the distinct pages of a host, tokens with equal occurrence vectors (held as two 64-bit sums over
 pages) form a class; it is valid on PAGES pages, whatever their share of the host. Paths nest by construction.
-A layout on that many pages has a slot: the container (or article or main element) with the most text that varies.
-Shared text outside the slot goes; inside it, shared text goes if its class holds an element path or layout, that
-is, if it comes with the layout. Text inside the slot that only some pages of a layout share is a copied passage
-and stays, and a slot is never emptied. Pages without a slot by template fall back on tag and class names, then on
+A layout on that many pages has slots: the containers (or article or main elements) whose text varies, each with at
+least SHARE of the text of the largest; where the largest is an article or main element, only such ones. Shared text
+outside the slots goes; inside, shared text goes if its class holds an element path or layout, that is, if it comes
+with the layout, but headings stay, and all stays where such text is half of what the slots hold or more: then the
+pages are copies of one article. Text inside a slot that only some pages of a layout share is a copied passage and
+stays. Pages without a slot by template fall back on tag and class names, then on
 their heaviest container. Lists of links, adverts, forms, notices, comments and other named boilerplate never
 count as a slot and are left out inside one: their text varies as the main text does.
 
@@ -50,6 +52,8 @@ ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 TEXTUAL = HEADINGS | {"p", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "caption", "center", "address"} | INLINE
 #: A class is valid on this many distinct pages of a host.
 PAGES = 3
+#: Part of the largest slot's text that another slot of the layout has at least.
+SHARE = 1 / 8
 
 
 class Block:
@@ -185,8 +189,9 @@ def host_of(url):
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, layout, t) for every page; t: code, n, is_text, slot (of a text that may be main) and size."""
-    cell = pa.struct([("code", pa.int64()), ("n", pa.int32()), ("is_text", pa.bool_()), ("slot", pa.int64()), ("size", pa.int32())])
+    """(host, page, layout, t) for every page; t: code, n, is_text, slot (of a text that may be main), size and
+    whether the slot is an article or main element."""
+    cell = pa.struct([("code", pa.int64()), ("n", pa.int32()), ("is_text", pa.bool_()), ("slot", pa.int64()), ("size", pa.int32()), ("main", pa.bool_())])
 
     def run(batches):
         for b in batches:
@@ -194,25 +199,25 @@ def tokens(pages: DataFrame) -> DataFrame:
             for text in b.column("html").to_pylist():
                 blocks, paths, above = read(text or "")
                 layout = _code("\n".join(sorted({_container(p, above) for p in paths})))
-                own = [(layout, 1, False, None, 0)] + [(_code(p), n, False, None, 0) for p, n in paths.items()]
+                own = [(layout, 1, False, None, 0, False)] + [(_code(p), n, False, None, 0, False) for p, n in paths.items()]
                 seen: dict = {}
                 for x in blocks:
                     key = (x.path, x.text)
                     if key in seen:
                         seen[key][1] += len(x.text)
                     else:
-                        seen[key] = [None if x.bad else x.main or _container(x.path, above), len(x.text)]
-                slots = {x: None if x is None else _code(x) for x, _ in seen.values()}
-                own += [(_code(p + "\0" + t), 1, True, slots[x], size) for (p, t), (x, size) in seen.items()]
+                        seen[key] = [None if x.bad else x.main or _container(x.path, above), len(x.text), bool(x.main)]
+                slots = {x: None if x is None else _code(x) for x, _, _ in seen.values()}
+                own += [(_code(p + "\0" + t), 1, True, slots[x], size, main) for (p, t), (x, size, main) in seen.items()]
                 layouts.append(layout)
-                found.append([dict(zip(("code", "n", "is_text", "slot", "size"), o, strict=True)) for o in own])
+                found.append([dict(zip(("code", "n", "is_text", "slot", "size", "main"), o, strict=True)) for o in own])
             yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page"), pa.array(layouts, pa.int64()), pa.array(found, pa.list_(cell))], names=["host", "page", "layout", "t"])
 
-    return pages.mapInArrow(run, "host string, page long, layout long, t array<struct<code: long, n: int, is_text: boolean, slot: long, size: int>>")
+    return pages.mapInArrow(run, "host string, page long, layout long, t array<struct<code: long, n: int, is_text: boolean, slot: long, size: int, main: boolean>>")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row per distinct page: codes of its shared texts, of those its layout comes with, and its slot's code.
+    """One row per distinct page: codes of its shared texts, of those its layout comes with, and of its slots.
 
     pages: host, page (a code of html), html.
     """
@@ -220,54 +225,68 @@ def templates(pages: DataFrame) -> DataFrame:
     each = t.select("host", "page", "layout", F.inline("t"))
     vectors = each.groupBy("host", "code").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("v1"), F.bit_xor(F.xxhash64(F.lit(3), "page", "n")).alias("v2"), F.count("*").alias("support"),
-        F.first("is_text").alias("is_text"), F.first("slot").alias("slot"), F.sum("size").alias("size"), F.min("layout").alias("l1"), F.max("layout").alias("l2"),
+        F.first("is_text").alias("is_text"), F.first("slot").alias("slot"), F.max("main").alias("main"), F.sum("size").alias("size"), F.min("layout").alias("l1"), F.max("layout").alias("l2"),
     )
     often = F.col("support") >= PAGES
     # a text on fewer pages has at most two layouts: of all these only the sums by layout and slot are kept
     none = F.array(F.lit(None).cast("long"))
-    kept = vectors.select("host", *(F.when(often, F.col(c)).alias(c) for c in ("code", "v1", "v2")), "is_text", F.when(~often, F.col("slot")).alias("slot"), "size", F.explode(F.when(often, none).otherwise(F.array_distinct(F.array("l1", "l2")))).alias("layout"))
-    kept = saved(kept.where("code IS NOT NULL OR slot IS NOT NULL").groupBy("host", "code", "v1", "v2", "is_text", "layout", "slot").agg(F.sum("size").alias("size")))
+    kept = vectors.select("host", *(F.when(often, F.col(c)).alias(c) for c in ("code", "v1", "v2")), "is_text", F.when(~often, F.col("slot")).alias("slot"), "size", "main", F.explode(F.when(often, none).otherwise(F.array_distinct(F.array("l1", "l2")))).alias("layout"))
+    kept = saved(kept.where("code IS NOT NULL OR slot IS NOT NULL").groupBy("host", "code", "v1", "v2", "is_text", "layout", "slot").agg(F.sum("size").alias("size"), F.max("main").alias("main")))
     shared = kept.where("code IS NOT NULL").select("host", "code", "v1", "v2", "is_text")
     classes = shared.groupBy("host", "v1", "v2").agg(F.max(~F.col("is_text")).alias("fixed"))
     texts = shared.where("is_text").join(classes, ["host", "v1", "v2"]).select("host", "code", "fixed")
     layouts = shared.where("NOT is_text").select("host", F.col("code").alias("layout"))
-    slots = kept.where("code IS NULL").groupBy("host", "layout").agg(F.max_by("slot", F.struct("size", "slot")).alias("slot")).join(layouts, ["host", "layout"], "left_semi")
+    varying = kept.where("code IS NULL").join(layouts, ["host", "layout"], "left_semi").select("host", "layout", "slot", "size", "main")
+    largest = varying.groupBy("host", "layout").agg(F.max(F.struct("size", "main", "slot")).alias("top"))
+    enough = (F.col("size") >= F.col("top.size") * SHARE) & (F.col("main") | ~F.col("top.main"))
+    slots = varying.join(largest, ["host", "layout"]).where(enough).groupBy("host", "layout").agg(F.collect_list("slot").alias("slots"))
     on_page = each.where("is_text").select("host", "page", "code").join(texts, ["host", "code"]).groupBy("host", "page").agg(F.collect_list("code").alias("texts"), F.collect_list(F.when(F.col("fixed"), F.col("code"))).alias("fixed"))
     return t.select("host", "page", "layout").join(slots, ["host", "layout"], "left").join(on_page, ["host", "page"], "left").drop("layout")
 
 
-def _inside(path: str, main: str, slot: int, known: dict, above: dict[str, str]) -> bool:
-    """Whether a block is in the slot: its main element, or an element at or above its path, has that code."""
+def _inside(path: str, main: str, slots: frozenset | set, known: dict, above: dict[str, str]) -> bool:
+    """Whether a block is in a slot: its main element, or an element at or above its path, has the code of one."""
     key = (path, main)
     if key not in known:
-        at, found = path, bool(main) and _code(main) == slot
+        at, found = path, bool(main) and _code(main) in slots
         while at and not found:
-            found = _code(at) == slot
+            found = _code(at) in slots
             at = parent(at, above)
-        known[key] = found or (not at and _code("") == slot)
+        known[key] = found or (not at and _code("") in slots)
     return known[key]
 
 
+def _own(chosen: list[Block], fixed: frozenset | set) -> list[Block]:
+    """The blocks of a slot without those that come with the layout, unless these are half of it or more."""
+    came = [bool(fixed) and _code(b.path + "\0" + b.text) in fixed and not _heading(b) for b in chosen]
+    size = sum(len(b.text) for b in chosen)
+    if 2 * sum(len(b.text) for b, c in zip(chosen, came, strict=True) if c) >= size:
+        return chosen
+    return [b for b, c in zip(chosen, came, strict=True) if not c]
+
+
+def _heading(b: Block) -> bool:
+    return b.path.rpartition("/")[2].split(".")[0] in HEADINGS
+
+
 def _under(path: str, top: str, above: dict[str, str]) -> bool:
     while path and path != top:
         path = parent(path, above)
     return path == top
 
 
-def extract(page: str | None, texts: frozenset | set = frozenset(), slot: int | None = None, fixed: frozenset | set = frozenset()) -> str:
-    """The main text of one page, given its shared texts, its layout's slot and the texts that come with the layout."""
+def extract(page: str | None, texts: frozenset | set = frozenset(), slots: frozenset | set = frozenset(), fixed: frozenset | set = frozenset()) -> str:
+    """The main text of one page, given its shared texts, its layout's slots and the texts that come with the layout."""
     if not page:
         return ""
     blocks, _, above = read(page)
     good = [b for b in blocks if not b.bad]
     chosen = []
-    if slot is not None:
+    if slots:
         known: dict = {}
-        chosen = [b for b in good if _inside(b.path, b.main, slot, known, above) and (b.main or b.linked * 2 < max(1, len(b.text)))]
-        chosen = [b for b in chosen if not (fixed and _code(b.path + "\0" + b.text) in fixed)] or chosen
+        chosen = _own([b for b in good if _inside(b.path, b.main, slots, known, above) and (b.main or b.linked * 2 < max(1, len(b.text)))], fixed)
     if not chosen:
-        chosen = [b for b in good if b.main]
-        chosen = [b for b in chosen if not (fixed and _code(b.path + "\0" + b.text) in fixed)] or chosen
+        chosen = _own([b for b in good if b.main], fixed)
     if not chosen:
         good = [b for b in good if b.linked * 2 < max(1, len(b.text))]
         own = [b for b in good if not (texts and _code(b.path + "\0" + b.text) in texts)]
@@ -281,7 +300,7 @@ def extract(page: str | None, texts: frozenset | set = frozenset(), slot: int |
             chosen = [b for b in good if _under(b.path, top, above)]
     kept = []
     for b in chosen:
-        if "/header~" in b.path and b.path.rpartition("/")[2].split(".")[0] not in HEADINGS:
+        if "/header~" in b.path and not _heading(b):
             continue
         kept.append(b.text)
     return "\n\n".join(kept)
@@ -289,17 +308,17 @@ def extract(page: str | None, texts: frozenset | set = frozenset(), slot: int |
 
 def with_main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """pages with host and main_text. Pages meet what their host's template says of them by host and code of html."""
-    base = pages.drop("host", "main_text", "_page", "_texts", "_slot", "_fixed").withColumn("host", host_of(F.col(url))).withColumn("_page", F.xxhash64(html))
+    base = pages.drop("host", "main_text", "_page", "_texts", "_slots", "_fixed").withColumn("host", host_of(F.col(url))).withColumn("_page", F.xxhash64(html))
     found = templates(base.select("host", F.col("_page").alias("page"), F.col(html).alias("html")))
-    joined = base.join(found.select("host", *(F.col(c).alias("_" + c) for c in ("page", "texts", "slot", "fixed"))), ["host", "_page"], "left")
+    joined = base.join(found.select("host", *(F.col(c).alias("_" + c) for c in ("page", "texts", "slots", "fixed"))), ["host", "_page"], "left")
 
     def run(batches):
         for b in batches:
-            out = [extract(text, frozenset(texts or ()), slot, frozenset(fixed or ())) for text, texts, slot, fixed in zip(*(b.column(k).to_pylist() for k in (html, "_texts", "_slot", "_fixed")), strict=True)]
+            out = [extract(text, frozenset(texts or ()), frozenset(slots or ()), frozenset(fixed or ())) for text, texts, slots, fixed in zip(*(b.column(k).to_pylist() for k in (html, "_texts", "_slots", "_fixed")), strict=True)]
             keep = [c for c in b.schema.names if not c.startswith("_")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "main_text"])
 
-    return joined.mapInArrow(run, plus(joined.drop("_page", "_texts", "_slot", "_fixed"), main_text="string"))
+    return joined.mapInArrow(run, plus(joined.drop("_page", "_texts", "_slots", "_fixed"), main_text="string"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
