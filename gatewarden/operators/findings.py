@@ -103,8 +103,8 @@ def failures(entries: DataFrame, tried: DataFrame | None = None, detectors=tuple
 
 
 def together(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
-    """Independent parts, written at the same time: each is small, so one alone leaves most cores idle."""
-    with ThreadPoolExecutor(len(builds)) as pool:
+    """Independent parts, written two at a time: each is small, so one alone leaves most cores idle."""
+    with ThreadPoolExecutor(2) as pool:
         return [done.result() for done in [pool.submit(build) for build in builds]]
 
 
@@ -168,7 +168,7 @@ def _of_addresses(times: DataFrame, entries: DataFrame, p: DetectorParams, store
     if "behavioral" in detectors:
         sizes = detect.sizes_of(who.select("ip", "total", "tiny", "huge", (F.col("size") / F.col("total")).alias("avg_size"), "max_size", _ref("last_at")), p)
         out += [("behavioral", detect.tiny_of(sizes)), ("behavioral", detect.huge_of(sizes, p))]
-    return _union([_late(f, group) for group, f in out])
+    return store("of_addresses", _union([_late(f, group) for group, f in out]))
 
 
 def _of_windows(times: DataFrame, p: DetectorParams, store: Store, behavioral: bool) -> DataFrame:
@@ -191,7 +191,7 @@ def _of_windows(times: DataFrame, p: DetectorParams, store: Store, behavioral: b
         at = peaks.select("ip", _ref("last_at")).distinct()
         out.append(("behavioral", detect.dos_bursts_of(dos.withColumnRenamed("max_requests", "m").select("ip", "window", "m", "starts"), at, p)))
         out.append(("behavioral", detect.sessions_of(secs.select("ip", "sec", "n"), _last_of(times), p)))
-    return _union([_late(f, group) for group, f in out])
+    return store("of_windows", _union([_late(f, group) for group, f in out]))
 
 
 def _of_paths(times: DataFrame, steps: DataFrame, entries: DataFrame, p: DetectorParams, store: Store) -> DataFrame:
@@ -200,14 +200,14 @@ def _of_paths(times: DataFrame, steps: DataFrame, entries: DataFrame, p: Detecto
     hot = steps.join(many.select("ip"), "ip", "left_semi").select("ip", "path", seconds(F.col("ts")).alias("sec"), "n")
     items = hot.where("path IS NOT NULL").select("ip", "path", "sec").distinct()
     periods = detect.path_periods(hot.groupBy("ip", "sec").agg(F.sum("n").alias("n")), items, entries, p, store)
-    return _late(detect.path_enumeration_of(periods.join(many, "ip").join(_last_of(times), "ip")), "scanning")
+    return store("of_paths", _late(detect.path_enumeration_of(periods.join(many, "ip").join(_last_of(times), "ip")), "scanning"))
 
 
 def _of_agents(times: DataFrame, agents: DataFrame, p: DetectorParams, store: Store) -> DataFrame:
     agents = agents.where("agent IS NOT NULL").select("ip", F.col("agent").alias("user_agent"))
     seen = times.where("agent_line IS NOT NULL").groupBy("ip").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.max_by(summary.place("agent_line"), F.struct("ts", summary.place("agent_line"))).alias("ref"))
     g = agents.groupBy("ip").agg(F.count("*").alias("agents")).where(F.col("agents") >= p.ua_rotation_threshold).join(seen, "ip")
-    return _late(detect.rotation_of(g, agents, p), "behavioral")
+    return store("of_agents", _late(detect.rotation_of(g, agents, p), "behavioral"))
 
 
 def _of_countries(times: DataFrame, reputation: DataFrame, p: DetectorParams, store: Store) -> DataFrame:
@@ -223,7 +223,7 @@ def _of_countries(times: DataFrame, reputation: DataFrame, p: DetectorParams, st
     changed = held.groupBy("ip").agg(F.max("n_distinct").alias("max_countries"), F.sum("n").alias("periods"))
     travel = detect.quick_changes(geo.select("ip", "country", "ts", "file_path", F.col("first_line").alias("line_number")), p)
     out = [detect.high_risk_of(kinds, p), detect.rapid_changes_of(changed.join(many.select("ip", "ref"), "ip"), p), detect.travel_of(travel.withColumn("ref", F.struct("at.file_path", "at.line_number")))]
-    return _union([_late(f, "geographic") for f in out])
+    return store("of_countries", _union([_late(f, "geographic") for f in out]))
 
 
 def sorted_findings(findings: DataFrame) -> DataFrame:
