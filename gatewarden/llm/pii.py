@@ -5,8 +5,10 @@ Base spans (email, ip, card, phone) follow fixed rules. Beyond them, candidate s
 Candidates that overlap a base span go first. Five regex, gazetteer and context labelers of each kind vote yes, no or
 nothing, often against each other; expectation-maximisation estimates each labeler's reliability from how often each
 pattern of votes occurs (a table of at most 3**5 patterns and 21 lengths a kind, the only thing that leaves the
-executors); the resulting probabilities train a logistic span classifier over the votes and the span's length, which
-is applied as an expression.
+executors). Where votes cannot tell labelers apart (few patterns, no disagreement, or one class only) the estimates
+mean nothing, and fixed reliabilities with a low prior are taken instead; the resulting probabilities train a logistic span classifier over the votes and the span's length, which
+is applied as an expression. A model is fitted on the texts given to `train` (the query and the pipeline take all of
+theirs); with one model a text has the same spans whatever stands beside it.
 
 Defined results: null and empty texts have no spans; of added spans that overlap, the kind listed first stays;
 repeated rows are judged alike; extra columns stay, and those named like a result are replaced; with no candidate at
@@ -53,10 +55,17 @@ GIVEN = [
 ]
 NOT_NAMES = [
     "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday",
-    "Saturday", "Sunday", "The", "United", "National", "New", "North", "South", "East", "West", "University", "College", "Street", "Avenue", "Road", "Park", "River", "Lake", "Mount", "City",
-    "County", "Company", "Corporation", "Institute", "Museum", "Bank", "Court", "Church", "Bridge", "Island", "Airport", "Station", "Chapter", "Table", "Figure", "Section", "Version",
+    "Saturday", "Sunday", "The", "United", "National", "New", "North", "South", "East", "West", "University", "College", "Avenue", "Road", "Park", "River", "Lake", "Mount", "City",
+    "County", "Company", "Corporation", "Institute", "Museum", "Bank", "Court", "Church", "Bridge", "Island", "Airport", "Station", "Chapter", "Table", "Figure", "Section", "Version", "Apache", "License", "Licence", "Public", "General", "Creative", "Commons", "Foundation", "Software", "Copyright",
+    "Rights", "Terms", "Conditions", "Privacy", "Policy", "Agreement", "Notice", "Tower", "Hall", "House", "Castle", "School", "Hospital", "Hotel", "Library", "Theatre", "Theater",
+    "Street", "Square", "Valley", "Mountain", "Sea", "Ocean", "Coast", "Bay", "Republic", "Kingdom", "States", "Council", "Committee", "Ministry", "Department", "Office", "Agency",
+    "Association", "Society", "Union", "League", "Club", "Group", "Inc", "Ltd", "Limited", "Systems", "Services", "Research", "Press", "Times", "News", "Journal", "Review", "Act", "Law",
 ]
 LABELERS = 5
+#: Vote patterns of a kind, and share of candidates in either class, from which the estimates are taken.
+PATTERNS, CLASS_SHARE = 6, 0.01
+#: Otherwise: the share of true candidates, and the chances of no, nothing and yes for true and for false ones.
+PRIOR, TRUE_VOTES, FALSE_VOTES = 0.1, (0.1, 0.3, 0.6), (0.5, 0.4, 0.1)
 #: Added spans need at least this probability.
 LEAST = 0.9
 #: Matches of a text are placed in parts of so many, and the parts then moved.
@@ -249,6 +258,39 @@ def expectation_maximisation(rows: list[tuple[list[int], float]], rounds: int =
     return post
 
 
+def fixed_belief(pattern: list[int] | tuple) -> float:
+    """P(yes) of a vote pattern under the fixed reliabilities: three votes of yes without a no are needed for LEAST."""
+    odds = math.log(PRIOR / (1 - PRIOR)) + sum(math.log(TRUE_VOTES[v + 1] / FALSE_VOTES[v + 1]) for v in pattern)
+    return 1 / (1 + math.exp(-odds))
+
+
+def fixed_weights() -> list[float]:
+    """The classifier that gives fixed_belief, whose log odds are linear in the votes."""
+    no, nothing, yes = (math.log(t / f) for t, f in zip(TRUE_VOTES, FALSE_VOTES, strict=True))
+    return [math.log(PRIOR / (1 - PRIOR)) + LABELERS * nothing, *(yes - nothing, no - nothing) * LABELERS, 0.0]
+
+
+def beliefs(rows: list[tuple[list[int], float]]) -> list[float] | None:
+    """P(yes) of each vote pattern, or None where the votes cannot tell labelers apart.
+
+    They can if there are enough patterns, if some candidate gets votes of both kinds, if both classes have a share of
+    the candidates, and if most labelers say yes more often to true candidates than to false ones.
+    """
+    post = expectation_maximisation(rows)
+    total = sum(n for _, n in rows) or 1
+    disagree = any(1 in p and -1 in p for p, _ in rows)
+    yes = sum(n for q, (_, n) in zip(post, rows, strict=True) if q >= LEAST) / total
+    no = sum(n for q, (_, n) in zip(post, rows, strict=True) if q <= 1 - LEAST) / total
+
+    def better(k: int) -> bool:
+        share = [sum(n * (q if side else 1 - q) for q, (p, n) in zip(post, rows, strict=True) if p[k] == 1) / (sum(n * (q if side else 1 - q) for q, (_, n) in zip(post, rows, strict=True)) + 1e-9) for side in (1, 0)]
+        return share[0] > share[1]
+
+    if len(rows) >= PATTERNS and disagree and min(yes, no) >= CLASS_SHARE and sum(map(better, range(LABELERS))) > LABELERS // 2:
+        return post
+    return None
+
+
 def train(documents: DataFrame, text: str = "text") -> Classifier:
     """Counts the vote patterns of all candidates of all texts, estimates and fits."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -262,7 +304,11 @@ def train(documents: DataFrame, text: str = "text") -> Classifier:
         for v, _, n in mine:
             patterns[tuple(v)] = patterns.get(tuple(v), 0) + n
         rows = [(list(v), float(n)) for v, n in sorted(patterns.items())]
-        post = dict(zip((tuple(v) for v, _ in rows), expectation_maximisation(rows), strict=True))
+        believed = beliefs(rows)
+        if mine and believed is None:
+            out.weights[kind] = fixed_weights()
+            continue
+        post = dict(zip((tuple(v) for v, _ in rows), believed or [], strict=True))
         w = [0.0] * (2 + 2 * LABELERS)
         total = sum(n for *_, n in mine) or 1
         for _ in range(300 if mine else 0):
