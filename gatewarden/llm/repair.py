@@ -250,8 +250,8 @@ def _coded(rows: DataFrame) -> DataFrame:
 def edits(rows: DataFrame) -> DataFrame:
     """conv_id, counts, cost, audit, repaired_sha256 and most_nodes of every conversation of damaged() or undamaged()."""
     coded = _coded(rows)
-    place = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
-    firsts = coded.where(F.col("kind") == ROW).groupBy("conv_id", "role", "code").agg(F.min(place)["turn"].alias("turn"))
+    first = F.when(F.count("turn") == F.count("*"), F.min("turn")).alias("turn")  # a null turn is the first
+    firsts = coded.where(F.col("kind") == ROW).groupBy("conv_id", "role", "code").agg(first)
     firsts = firsts.select("conv_id", "turn", "role", F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(FIRST).alias("kind"), "code")
     schema = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string, most_nodes long"
     names = [part.split()[0] for part in schema.split(", ")]
