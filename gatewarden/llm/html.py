@@ -54,6 +54,8 @@ TEXTUAL = HEADINGS | {"p", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead",
 PAGES = 3
 #: Part of the largest slot's text that another slot of the layout has at least.
 SHARE = 1 / 8
+#: Pages of one host and layout meet its slots in so many parts, each with a copy of the slots.
+PARTS = 16
 
 
 class Block:
@@ -241,7 +243,9 @@ def templates(pages: DataFrame) -> DataFrame:
     enough = (F.col("size") >= F.col("top.size") * SHARE) & (F.col("main") | ~F.col("top.main"))
     slots = varying.join(largest, ["host", "layout"]).where(enough).groupBy("host", "layout").agg(F.collect_list("slot").alias("slots"))
     on_page = each.where("is_text").select("host", "page", "code").join(texts, ["host", "code"]).groupBy("host", "page").agg(F.collect_list("code").alias("texts"), F.collect_list(F.when(F.col("fixed"), F.col("code"))).alias("fixed"))
-    return t.select("host", "page", "layout").join(slots, ["host", "layout"], "left").join(on_page, ["host", "page"], "left").drop("layout")
+    slots = slots.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = t.select("host", "page", "layout", F.pmod("page", F.lit(PARTS)).cast("int").alias("part"))
+    return dealt.join(slots, ["host", "layout", "part"], "left").drop("part").join(on_page, ["host", "page"], "left").drop("layout")
 
 
 def _inside(path: str, main: str, slots: frozenset | set, known: dict, above: dict[str, str]) -> bool:
