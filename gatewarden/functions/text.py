@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .patterns import NOT_PUBLIC, PUBLIC_ANYWAY
+from .patterns import NOT_PUBLIC, NOT_PUBLIC_6, PUBLIC_ANYWAY, PUBLIC_WITHIN_6
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
@@ -51,16 +49,24 @@ def _is_ipv6(c: Column) -> Column:
     return (v.rlike(f"^{run}$") & (n == 8)) | (v.rlike(f"^(?:{run})?::(?:{run})?$") & (n <= 7))
 
 
-@F.pandas_udf(T.BooleanType())
-def _public_ipv6(addresses: pd.Series) -> pd.Series:
-    def good(x):
-        try:
-            a = ipaddress.ip_address(x)
-        except ValueError:
-            return False
-        return not (a.is_private or a.is_loopback or a.is_reserved)
+def ipv6_key(c: Column) -> Column:
+    """A valid IPv6 address as 32 hex digits, whose order is that of the addresses."""
+    plain = F.lower(F.regexp_replace(c, "%.*$", ""))
+    tail = F.regexp_extract(plain, rf"({IPV4})$", 1)
+    number = F.lpad(F.lower(F.hex(ipv4_number(F.when(tail != "", tail)))), 8, "0")
+    whole = F.when(tail == "", plain).otherwise(F.concat(F.regexp_replace(plain, rf"{IPV4}$", ""), F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4)))
+    sides = F.split(whole, "::")
+    groups = lambda side: F.array_join(F.transform(F.filter(F.split(side, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0")), "")
+    left, right = groups(sides[0]), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    return F.concat(F.rpad(left, F.lit(32) - F.char_length(right), F.lit("0")), right)
 
-    return addresses.map(good).astype(bool)
+
+def _within_6(key: Column, networks: list[str]) -> Column:
+    """Whether a key lies in one of the networks, each an interval of keys."""
+    out = F.lit(False)
+    for net in map(ipaddress.ip_network, networks):
+        out = out | key.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
+    return out
 
 
 def valid_ip(c: Column) -> Column:
@@ -73,14 +79,20 @@ def ipv4_number(c: Column) -> Column:
     return p[0].cast("long") * 16777216 + p[1].cast("long") * 65536 + p[2].cast("long") * 256 + p[3].cast("long")
 
 
-def is_public(c: Column) -> Column:
-    """Neither private, loopback nor reserved."""
-    v4 = c.rlike(rf"^{IPV4}$")
-    n = F.when(v4, ipv4_number(F.when(v4, c)))
-    outside = F.lit(False)
+def _public_4(n: Column) -> Column:
+    outside, anyway = F.lit(False), [int(ipaddress.ip_address(x)) for x in PUBLIC_ANYWAY]
     for net in map(ipaddress.ip_network, NOT_PUBLIC):
         outside = outside | n.between(int(net.network_address), int(net.broadcast_address))
-    return F.when(v4, ~outside | c.isin(PUBLIC_ANYWAY)).when(c.contains(":"), _public_ipv6(F.when(c.contains(":"), c).otherwise(F.lit("")))).otherwise(False)
+    return ~outside | n.isin(*anyway)
+
+
+def is_public(c: Column) -> Column:
+    """Neither private, loopback nor reserved; IPv4 addresses mapped into IPv6 are reserved."""
+    v4, v6 = c.rlike(rf"^{IPV4}$"), c.contains(":") & _is_ipv6(c)
+    key = ipv6_key(F.when(v6, c))
+    # bound to a name, so that the key is put together once and not for each network
+    six = F.element_at(F.transform(F.array(key), lambda k: ~_within_6(k, NOT_PUBLIC_6) | _within_6(k, PUBLIC_WITHIN_6)), 1)
+    return F.when(v4, _public_4(ipv4_number(F.when(v4, c)))).when(v6, six).otherwise(False)
 
 
 def seconds(ts: Column) -> Column:
