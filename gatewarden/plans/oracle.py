@@ -179,6 +179,7 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "read_log_lines": sql("SELECT line_number, content, 'utf-8' AS encoding FROM access_log"),
         "decode_lines": sql("SELECT 'utf-8' AS encoding, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM access_log"),
+        "decode_files": sql("SELECT CASE line_number % 3 WHEN 2 THEN content ELSE content || chr(233) END AS content, CASE line_number % 3 WHEN 1 THEN 'latin-1' ELSE 'utf-8' END AS encoding, false AS decode_error FROM access_log"),
         "ingestion_summary": sql("SELECT count(*) AS lines_processed, CAST(0 AS BIGINT) AS errors FROM access_log"),
         "write_findings": sql(f"SELECT ip, risk_score FROM ({FAILED_LOGIN})"),
         "parse_access_log": sql("SELECT line_number, ip, ts, request_line, status, user_agent, bytes_sent, referer, remote_user, path FROM e"),

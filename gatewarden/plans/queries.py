@@ -15,6 +15,7 @@ from ..functions.text import request_path, url_decode_text
 from ..operators import detect, enrich, findings, keyword, parse, registry, score, traffic
 from ..params import DEFAULT
 from ..sources import derived, logs
+from ..sources.listing import list_files
 
 #: Lower thresholds for detectors that the derived log does not reach with the usual ones.
 LOW = replace(DEFAULT, windows={"1min": (60, 2, 10), "5min": (300, 4, 25), "15min": (900, 8, 50), "1hour": (3600, 16, 100)}, dos_burst_threshold=20, vuln_ratio=0.1, tiny_bytes=28, tiny_ratio=0.3, huge_bytes=30, huge_ratio=0.05, country_requests_per_hour=5.0, country_failed_per_hour=2.0, session_min_gaps=2, session_max_gap=2, burst_period_requests=10)
@@ -148,6 +149,20 @@ def _read_lines(t: Tables) -> DataFrame:
     return lines.join(before, "file_path").select((F.col("before") + F.col("line_number")).alias("line_number"), "content", "encoding")
 
 
+def _mixed_files(t: Tables) -> str:
+    """The derived log in folders of three kinds: with an accent in every line, as UTF-8 and as Latin-1, and without."""
+    path = os.path.join(shared_folder(t.spark), "logs-" + uuid.uuid4().hex)
+    accent, part = F.concat("content", F.lit("\u00e9")), F.col("line_number") % 3
+    for k, (folder, content) in enumerate((("utf8", accent), ("old/latin", F.encode(accent, "ISO-8859-1").cast("string")), ("old/plain", F.col("content")))):
+        t.lines.where(part == k).select(content.alias("content")).write.text(os.path.join(path, folder))
+    return path
+
+
+def _decoded_files(t: Tables) -> DataFrame:
+    path = _mixed_files(t)
+    return logs.decode_files(logs.read_log_lines(t.spark, path), list_files(t.spark, path, encoding=True)).select("content", "encoding", "decode_error")
+
+
 def _inventory(t: Tables) -> DataFrame:
     i = logs.file_inventory(t.spark, _log_files(t))
     return i.agg(F.sum("file_size").alias("file_size"), F.sum("line_count").alias("line_count"), F.count_if("is_empty").alias("empty_files"), F.max("encoding").alias("encoding"))
@@ -264,6 +279,7 @@ def _with_provider(t):
 QUERIES = {
     "read_log_lines": _read_lines,
     "decode_lines": lambda t: logs.decode_lines(t.lines).groupBy("encoding").agg(F.count("*").alias("n"), F.sum(F.char_length("content")).alias("chars")),
+    "decode_files": _decoded_files,
     "file_inventory": _inventory,
     "ingestion_summary": _summary,
     "write_findings": _written,
