@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_clf_timestamp, request_path, valid_ip
+from .registry import line_parsers
 from .registry import parsers as registered
 
 # One pattern for both formats: Combined is Common with an optional tail.
@@ -30,7 +31,7 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     got = got.withColumns({n: F.get("g", F.lit(k)) for k, n in enumerate(names)})
     got = got.withColumns({"ts": parse_clf_timestamp(F.col("stamp")), "status": F.col("code").try_cast("int"), "bytes_sent": F.when(F.col("size") != "-", F.col("size").try_cast("bigint")), "combined": F.col("tail") != ""})
     error = (
-        F.when(F.col("t") == "", "Empty log line")
+        F.when(F.col("t").isNull() | (F.col("t") == ""), "Empty log line")
         .when(~F.col("matched"), UNKNOWN)
         .when(~valid_ip(F.col("ip")), F.concat(F.lit("Invalid IP address: "), "ip"))
         .when(F.col("ts").isNull(), F.concat(F.lit("Invalid timestamp '"), "stamp", F.lit("'")))
@@ -48,11 +49,26 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     ).select(*FIELDS, "error")
 
 
+def _dispatched(parsed: DataFrame) -> DataFrame:
+    """Lines of an unknown format by the first registered line parser that has no error for them, in the same pass."""
+    own = [f for f in parsed.schema.fields if f.name not in ("file_path", "line_number", "raw_line", "error")]
+    taken = []
+    for fn in line_parsers().values():
+        got = fn(F.col("raw_line"))
+        taken.append(F.when(got["error"].isNull(), F.struct(*(got[f.name].cast(f.dataType).alias(f.name) for f in own))))
+    if not taken:
+        return parsed
+    out = parsed.withColumn("by", F.when(F.col("error") == UNKNOWN, F.coalesce(*taken)))
+    hit = F.col("by").isNotNull()
+    columns = {f.name: F.when(hit, F.col("by")[f.name]).otherwise(F.col(f.name)) for f in own}
+    return out.withColumns(columns | {"error": F.when(~hit, F.col("error"))}).select(*FIELDS, "error")
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """parse_access_log, and for the lines whose format it does not know the registered parsers, in order of their
-    registration: the first that has no error for a line gives its columns. Those lines are found in one more pass for
-    each parser."""
-    out = parse_access_log(lines)
+    """parse_access_log, and for the lines whose format it does not know the registered parsers: the first that has no error
+    for a line gives its columns. Line parsers (columns) are all asked in the one pass over the lines; then those that are
+    functions of tables, in order of their registration, in one more pass for each."""
+    out = _dispatched(parse_access_log(lines))
     for fn in registered().values():
         unknown = F.col("error") == UNKNOWN
         tried = fn(out.where(unknown).select("file_path", "line_number", F.col("raw_line").alias("content"))).where("error IS NULL").select(*FIELDS, "error")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 _detectors: dict[str, Callable] = {}
 _entry_detectors: dict[str, Callable] = {}
 _parsers: dict[str, Callable] = {}
+_line_parsers: dict[str, Callable] = {}
 _providers: dict[str, Callable] = {}
 
 
@@ -26,6 +27,12 @@ def register_parser(name: str, fn: Callable) -> None:
     _parsers[name] = fn
 
 
+def register_line_parser(name: str, fn: Callable) -> None:
+    """fn(text column) -> struct column with entry columns and error: asked like those of register_parser, before them, but
+    all in the pass that parses the access log."""
+    _line_parsers[name] = fn
+
+
 def register_provider(name: str, fn: Callable) -> None:
     """fn(raw payload rows of this provider) -> reputation rows."""
     _providers[name] = fn
@@ -43,10 +50,14 @@ def parsers() -> dict[str, Callable]:
     return dict(_parsers)
 
 
+def line_parsers() -> dict[str, Callable]:
+    return dict(_line_parsers)
+
+
 def providers() -> dict[str, Callable]:
     return dict(_providers)
 
 
 def unregister(name: str) -> None:
-    for names in (_detectors, _entry_detectors, _parsers, _providers):
+    for names in (_detectors, _entry_detectors, _parsers, _line_parsers, _providers):
         names.pop(name, None)

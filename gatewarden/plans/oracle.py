@@ -260,4 +260,12 @@ def oracle_sql() -> dict[str, str]:
         "register_detector": sql("SELECT 'Busy Address' AS finding_type, ip, CAST(33 AS BIGINT) AS risk_score, 'Busy: ' || ip AS description, max(line_number) AS ref_line, '{\"n\":' || count(*) || '}' AS details FROM e GROUP BY ip HAVING count(*) >= 10"),
         "register_provider": sql("SELECT provider, count(*) AS n, count(*) FILTER (is_malicious) AS malicious, CAST(sum(confidence_score) AS BIGINT) AS scores FROM (SELECT provider, is_malicious, confidence_score FROM abuse2 UNION ALL SELECT provider, is_malicious, confidence_score FROM virus UNION ALL SELECT 'mirror', confidence_score >= 90, confidence_score FROM abuse2) GROUP BY provider", True),
     }
+    answers = "(SELECT ip, provider, query_ts AS valid_from, max(confidence_score) AS confidence_score, arg_max(country_code, (confidence_score, country_code)) AS country_code FROM (SELECT ip, provider, query_ts, confidence_score, country_code FROM abuse2 UNION ALL SELECT ip, provider, query_ts, confidence_score, country_code FROM virus) GROUP BY ALL)"
+    spans = f"(SELECT *, lead(valid_from) OVER (PARTITION BY ip, provider ORDER BY valid_from) AS valid_to FROM {answers})"
+    out |= {
+        "register_line_parser": sql("SELECT line_number, '127.0.0.' || (n % 3) AS ip, 200 + n % 3 AS status, n * (n % 3 + 1) AS bytes_sent, CAST(n AS VARCHAR) AS path FROM (SELECT line_number, CAST(regexp_extract(raw_line, '^garbage line ([0-9]+)$', 1) AS BIGINT) AS n FROM parsed WHERE regexp_matches(raw_line, '^garbage line [0-9]+$'))"),
+        "reputation_history": sql(f"SELECT ip, provider, valid_from, valid_to, confidence_score, country_code FROM {spans}", True),
+        "attach_country_valid": sql(f"SELECT e.line_number, e.ip, s.country_code AS country FROM e JOIN {spans} s ON e.ip = s.ip AND s.provider = 'abuseipdb' AND e.ts >= s.valid_from AND (s.valid_to IS NULL OR e.ts < s.valid_to)", True),
+        "publish_findings": out["written_findings"],
+    }
     return out | {f"{name}_full": out[name].replace(REPUTATION_RAW, REPUTATION_ALL) for name in FULL if name in out}

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import request_path, url_decode_text
-from ..operators import detect, enrich, findings, keyword, parse, registry, score, traffic
+from ..operators import detect, enrich, findings, history, keyword, parse, registry, score, traffic
 from ..params import DEFAULT
-from ..sources import derived, logs
+from ..sources import derived, logs, publish
 from ..sources.listing import list_files
 
 #: Lower thresholds for detectors that the derived log does not reach with the usual ones.
@@ -222,6 +222,28 @@ def _with_parser(t):
         registry.unregister("marked")
 
 
+def _third(k: int):
+    """A parser of the lines `garbage line N` of which N leaves k when divided by 3."""
+
+    def parser(text):
+        n = F.regexp_extract(text, "^garbage line ([0-9]+)$", 1)
+        none = {c: F.lit(None).cast("string") for c in ("user_agent", "referer", "remote_user")}
+        values = {"ip": F.lit(f"127.0.0.{k}"), "ts": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "status": F.lit(200 + k), "bytes_sent": n.try_cast("bigint") * (k + 1), "request_line": F.concat(F.lit("GARBAGE "), n), "path": n, **none}
+        return F.struct(*(v.alias(c) for c, v in values.items()), F.when(n.try_cast("bigint") % 3 == k, None).otherwise("no").alias("error"))
+
+    return parser
+
+
+def _with_line_parsers(t):
+    for k in range(3):
+        registry.register_line_parser(f"third {k}", _third(k))
+    try:
+        return parse.entries_of(parse.parse_lines(t.lines)).where("request_line LIKE 'GARBAGE %'").select("line_number", "ip", "status", "bytes_sent", "path")
+    finally:
+        for k in range(3):
+            registry.unregister(f"third {k}")
+
+
 def _with_detector(t):
     def busy(entries, p):
         g = entries.groupBy("ip").agg(F.count("*").alias("n"), detect._last(detect.INPUT)).where("n >= 10")
@@ -347,6 +369,7 @@ QUERIES = {
     "top_referers": lambda t: traffic.top_referers(t.entries),
     "error_analysis": lambda t: traffic.error_analysis(t.entries),
     "register_parser": _with_parser,
+    "register_line_parser": _with_line_parsers,
     "register_detector": _with_detector,
     "register_provider": _with_provider,
     "errors_by_path": lambda t: traffic.errors_by_path(t.entries),
@@ -370,16 +393,43 @@ def _all_written(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+def _history(t: Tables) -> DataFrame:
+    """The history of reputation, kept up to date by two batches whose times overlap."""
+    root = os.path.join(shared_folder(t.spark), "history-" + uuid.uuid4().hex)
+    for k in range(2):
+        history.update_history(t.spark, root, t.reputation.where(F.col("query_ts").isNotNull() & (F.second("query_ts") % 2 == k)), f"batch-{k}", 8)
+    return history.read_history(t.spark, root).select("ip", "provider", "valid_from", "valid_to", "confidence_score", "country_code")
+
+
+def _geo_by_history(t: Tables) -> DataFrame:
+    known = history.history(t.reputation.where("provider = 'abuseipdb' AND country_code IS NOT NULL"))
+    return history.attach_valid(t.entries, known).select("line_number", "ip", "country")
+
+
+WRITTEN = (*KEYS, "ref_ts", "request_line", "status", "user_agent", "referer", "bytes_sent")
+
+
+def _published(t: Tables) -> DataFrame:
+    """The findings of all detectors, published in two runs, the second of them repeated."""
+    root = os.path.join(shared_folder(t.spark), "published-" + uuid.uuid4().hex)
+    for run, which in (("high", "risk_score >= 70"), ("other", "risk_score < 70"), ("other", "risk_score < 70")):
+        publish.publish(t.findings.where(which), root, run)
+    return publish.published(t.spark, root).select(*WRITTEN)
+
+
 QUERIES |= {
+    "reputation_history": _history,
+    "attach_country_valid": _geo_by_history,
+    "publish_findings": _published,
     "enrich_all_findings": _all_enriched,
     "malicious_all_findings": lambda t: enrich.malicious_findings(t.findings, t.latest).select(*KEYS),
     "unenriched_all_findings": lambda t: enrich.unenriched_findings(t.findings, t.latest).select(*KEYS),
     "write_all_findings": _all_written,
-    "written_findings": lambda t: _all_written(t).select(*KEYS, "ref_ts", "request_line", "status", "user_agent", "referer", "bytes_sent"),
+    "written_findings": lambda t: _all_written(t).select(*WRITTEN),
 }
 
 #: The queries over reputation, again over the reputation of all addresses.
-FULL = ["attach_country", "geo_change_periods", "rapid_geographic_changes", "high_risk_country_activity", "impossible_travel", "all_findings", "sorted_findings", "severity_counts", "detector_statistics", "pattern_type_counts", "extract_finding_ips", "public_ips", "normalize_abuseipdb", "normalize_virustotal", "latest_reputation", "enrich_findings", "malicious_findings", "unenriched_findings", "enrich_all_findings", "malicious_all_findings", "unenriched_all_findings", "write_all_findings", "written_findings", "enrichment_stats", "composite_risk", "risk_level", "priority_findings", "executive_summary", "top_threats", "recommendations", "format_findings", "render_report", "requests_by_country", "register_provider"]
+FULL = ["attach_country", "geo_change_periods", "rapid_geographic_changes", "high_risk_country_activity", "impossible_travel", "all_findings", "sorted_findings", "severity_counts", "detector_statistics", "pattern_type_counts", "extract_finding_ips", "public_ips", "normalize_abuseipdb", "normalize_virustotal", "latest_reputation", "enrich_findings", "malicious_findings", "unenriched_findings", "enrich_all_findings", "malicious_all_findings", "unenriched_all_findings", "write_all_findings", "written_findings", "enrichment_stats", "composite_risk", "risk_level", "priority_findings", "executive_summary", "top_threats", "recommendations", "format_findings", "render_report", "requests_by_country", "register_provider", "reputation_history", "attach_country_valid"]
 QUERIES |= {f"{name}_full": (lambda t, build=QUERIES[name]: build(FullTables(t.spark, t.sf_dir))) for name in FULL}
 
 
