@@ -9,8 +9,10 @@ import codecs
 import json
 import os
 import re
+import sys
 from urllib.parse import unquote
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -19,6 +21,9 @@ BATCH = 10_000
 #: Bytes at the start of a file by which its encoding is decided.
 HEAD = 8192
 
+# the reader goes to the workers as it is, so they need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def hidden(name: str) -> bool:
     """Names that Spark's readers pass over."""
@@ -68,35 +73,29 @@ def _globbed(path: str):
     return "/".join(parts[: wild[0]]) or "/", out + "(?:/.*)?"
 
 
-class Folder(InputPartition):
-    """What one task lists: a folder whole (deep), or the files directly in it."""
-
-    def __init__(self, uri: str, path: str, deep: bool, pattern: str | None):
-        self.uri, self.path, self.deep, self.pattern = uri, path, deep, pattern
-
-
 class Listing(DataSourceReader):
     def __init__(self, options):
         self.paths, self.heads = json.loads(options["paths"]), options.get("encoding") == "true"
 
     def partitions(self):
-        """One task for the files of each given folder, and one for each folder in it."""
+        """One task for the files of each given folder, and one for each folder in it, which it lists whole (deep)."""
         from pyarrow import fs
 
         out = []
         for uri in self.paths:
             system, path, _ = _opened(uri)
             base, pattern = _globbed(path)
-            out.append(Folder(uri, base, False, pattern))
+            out.append(InputPartition((uri, base, False, pattern)))
             if system.get_file_info(base).type == fs.FileType.Directory:
-                out += [Folder(uri, i.path, True, pattern) for i in system.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory and not hidden(i.base_name)]
+                out += [InputPartition((uri, i.path, True, pattern)) for i in system.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory and not hidden(i.base_name)]
         return out
 
-    def read(self, part: Folder):
+    def read(self, part):
         from pyarrow import RecordBatch, array, fs
 
-        system, _, prefix = _opened(part.uri)
-        names, sizes, kinds, left = [], [], [], [part.path]
+        uri, top, deep, pattern = part.value
+        system, _, prefix = _opened(uri)
+        names, sizes, kinds, left = [], [], [], [top]
 
         def batch():
             return RecordBatch.from_arrays([array(names, "string"), array(sizes, "int64"), array(kinds, "string")], names=["file_path", "file_size", "encoding"])
@@ -110,8 +109,8 @@ class Listing(DataSourceReader):
                 if hidden(i.base_name):
                     continue
                 if i.type == fs.FileType.Directory:
-                    left += [i.path] if part.deep else []
-                elif part.pattern is None or re.fullmatch(part.pattern, i.path):
+                    left += [i.path] if deep else []
+                elif pattern is None or re.fullmatch(pattern, i.path):
                     names.append(prefix + i.path)
                     sizes.append(i.size)
                     kinds.append(_encoding(system, i.path) if self.heads and i.size else None)
