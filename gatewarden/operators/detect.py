@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import fold, matches
 from ..functions.patterns import SCANNING
 from ..functions.text import seconds
 from ..params import DEFAULT, DetectorParams
+from .keyword import candidates
 from .summary import Store, same
 from .windows import SPAN, distinct_in_seconds, in_seconds, islands, positioned, second_totals, window_counts, window_distinct, window_items, window_peaks
 
@@ -190,19 +192,15 @@ def path_enumeration_of(g: DataFrame) -> DataFrame:
 
 
 def scanning_tool_signature(entries: DataFrame, p: DetectorParams = DEFAULT) -> DataFrame:
-    return signatures_of(entries.withColumn("found", signatures_in()).where("size(found) > 0"))
+    near = candidates(entries, [q for q, _ in SCANNING])
+    return signatures_of(near.withColumn("found", signatures_in()).where("size(found) > 0"))
 
 
 def signatures_in() -> Column:
-    """Signatures in the raw agent, request and referer; a first test with all patterns in one."""
-    any_ = "(?iU)" + "|".join(f"(?:{x})" for x, _ in SCANNING)
-    fields = F.filter(F.array("user_agent", "request_line", "referer"), lambda x: x.isNotNull())
-
-    def matches(pattern):
-        return F.exists(fields, lambda x: x.rlike("(?iU)" + pattern))
-
-    found = F.array_compact(F.array(*(F.when(matches(q), F.struct(F.lit(q).alias("pattern"), F.lit(s).alias("score"))) for q, s in SCANNING)))
-    return F.when(F.exists(fields, lambda x: x.rlike(any_)), found)
+    """Signatures in the raw agent, request and referer; a pattern is run only where its literals are."""
+    fields = F.transform(F.filter(F.array("user_agent", "request_line", "referer"), lambda x: x.isNotNull()), lambda x: F.struct(x.alias("text"), fold(x).alias("folded")))
+    of = lambda x: F.filter(F.array(*(F.when(matches(x["text"], x["folded"], q), F.struct(F.lit(q).alias("pattern"), F.lit(s).alias("score"))) for q, s in SCANNING)), lambda y: y.isNotNull())
+    return F.array_distinct(F.flatten(F.transform(fields, of)))
 
 
 def signatures_of(rows: DataFrame) -> DataFrame:

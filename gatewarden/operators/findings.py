@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.patterns import KEYWORDS, SCANNING
 from ..functions.text import seconds
 from ..params import DEFAULT, DetectorParams
 from . import detect, keyword, summary
@@ -118,7 +119,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _texts(entries: DataFrame, signatures: bool) -> DataFrame:
     """The entries with a keyword or signature in their texts, and what was found: the only look at all texts."""
     found = detect.signatures_in() if signatures else F.array().cast("array<struct<pattern: string, score: int>>")
-    return entries.select("ip", *detect.REF, keyword.hits_in().alias("hits"), F.coalesce(found, F.array()).alias("found")).where("size(hits) > 0 OR size(found) > 0")
+    near = keyword.candidates(entries, [p for g in KEYWORDS.values() for p, _ in g] + [q for q, _ in SCANNING if signatures])
+    return near.select("ip", *detect.REF, keyword.hits_in().alias("hits"), F.coalesce(found, F.array()).alias("found")).where("size(hits) > 0 OR size(found) > 0")
 
 
 def _keywords(texts: DataFrame) -> DataFrame:

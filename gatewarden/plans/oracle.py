@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.literals import clauses
 from ..functions.patterns import ABUSE_CATEGORIES, KEYWORDS, SCANNING
 from ..sources.derived import ACCESS_LOG, REPUTATION_ALL, REPUTATION_RAW
 from ..params import DEFAULT
@@ -57,6 +58,16 @@ def keyword(group: str) -> str:
     return f"SELECT line_number, field, {q(group)} AS pattern_type, {case(lambda p, s: s)} AS risk_score, {case(lambda p, s: f'regexp_extract(decoded, {q(chr(40) + chr(63) + chr(105) + chr(41) + p)}, 0)')} AS matched_text FROM d WHERE {case(lambda p, s: s)} IS NOT NULL"
 
 
+def selectivity() -> str:
+    """Of each pattern the texts that hold one literal of every clause, and those that it matches."""
+    parts = []
+    for kind, pattern, text in [(g, p, "decoded") for g in KEYWORDS for p, _ in KEYWORDS[g]] + [("scanning", p, "text") for p, _ in SCANNING]:
+        holds = " AND ".join("(" + " OR ".join(f"contains(lower({text}), {q(x)})" for x in c) + ")" for c in clauses(pattern)) or "true"
+        literals = q(" & ".join("|".join(c) for c in clauses(pattern)))
+        parts.append(f"SELECT {q(kind)} AS kind, {q(pattern)} AS pattern, {literals} AS literals, count(*) AS texts, count(*) FILTER (WHERE {holds}) AS picked, count(*) FILTER (WHERE regexp_matches({text}, {q('(?i)' + pattern)})) AS matched FROM d")
+    return " UNION ALL ".join(parts)
+
+
 ALL_WORDS = " UNION ALL ".join(f"SELECT * FROM ({keyword(g)})" for g in KEYWORDS)
 TITLE = "CASE pattern_type WHEN 'sql_injection' THEN 'Keyword Match - Sql Injection' WHEN 'xss' THEN 'Keyword Match - Xss' ELSE 'Keyword Match - Command Execution' END"
 LAST_IN = "arg_max(line_number, line_number)"
@@ -196,6 +207,7 @@ def oracle_sql() -> dict[str, str]:
         "keyword_command_exec": sql(keyword("command_execution")),
         "keyword_xss": sql(keyword("xss")),
         "keyword_findings": sql(f"SELECT line_number, field, pattern_type, {TITLE} AS finding_type, risk_score, matched_text, 'Detected ' || replace(pattern_type, '_', ' ') || ' pattern in ' || field || ': ''' || matched_text || '''' AS description FROM ({ALL_WORDS})"),
+        "pattern_selectivity": sql(selectivity()),
         "keyword_counts": sql(f"SELECT pattern_type, field, count(*) AS n FROM ({ALL_WORDS}) GROUP BY ALL"),
         "ip_status_distribution": sql("SELECT ip, string_agg(status || '=' || n, '|' ORDER BY status) AS statuses, CAST(sum(n) AS BIGINT) AS total FROM (SELECT ip, status, count(*) AS n FROM e GROUP BY ALL) GROUP BY ip"),
         "failed_login_pattern": sql(FAILED_LOGIN),

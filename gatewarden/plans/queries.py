@@ -318,6 +318,7 @@ QUERIES = {
     **{f"keyword_{k}": (lambda t, g=g: keyword.keyword_findings(t.entries, (g,)).select("line_number", "field", "pattern_type", "risk_score", "matched_text")) for k, g in (("sqli", "sql_injection"), ("command_exec", "command_execution"), ("xss", "xss"))},
     "keyword_findings": lambda t: keyword.keyword_findings(t.entries).select("line_number", "field", "pattern_type", "finding_type", "risk_score", "matched_text", "description"),
     "keyword_counts": lambda t: keyword.keyword_counts(keyword.keyword_findings(t.entries)),
+    "pattern_selectivity": lambda t: keyword.pattern_selectivity(t.entries),
     "ip_status_distribution": _status,
     "failed_login_pattern": lambda t: _ref(detect.failed_login_pattern(t.entries), "failed_logins"),
     "high_request_frequency": lambda t: _ref(detect.high_request_frequency(t.entries), "requests"),
