@@ -18,14 +18,16 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import released, saved, table
+from .common import BATCH_ROWS, released, saved, table
 
 WINDOW, CLOSE, STEP, DEPTH = 4096, 2, 16, 3
 TOKENIZER = "word_bpe_49k.json"
@@ -38,49 +40,68 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Ids of a text as packed 16-bit numbers, the same as the tokenizer's, with the words kept once encoded."""
+    """Ids of texts as packed 16-bit numbers, the same as the tokenizer's. A batch is cut at white space, its distinct
+    pieces into words and only its distinct words are encoded, with those of the batches before kept."""
 
     #: Characters whose normal form the tokenizer leaves as it is, lower case apart.
-    PLAIN = re.compile(r"[\t-\r\x20-\x7e¡-±´-¸º»¿-įı-ž]*")
-    #: The tokenizer's own split for such texts.
-    WORDS = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\w\s]|_)+")
-    #: Pieces between white space that are kept once encoded.
+    PLAIN = r"\t-\r\x20-\x7e¡-±´-¸º»¿-įı-ž"
+    #: The tokenizer's own split, of pieces without white space.
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\pL\pN]+"
+    #: Words of one generation that are kept once encoded; the generation before stays for words met again.
     MOST = 150_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or "(?!)")
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
-        model = self.tok.model
+        #: Texts for the tokenizer itself: with other characters or with a special token.
+        self.odd = "|".join([f"[^{self.PLAIN}]", *(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())])
         # the byte-level alphabet: printable bytes stand for themselves, the rest for code points from 256 on
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in kept]
-        alphabet = {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(other)}
-
-        class Cache(dict):
-            def __missing__(self, piece):
-                if len(self) > WordEncoder.MOST:
-                    self.clear()
-                ids = []
-                for word in WordEncoder.WORDS.findall(piece):
-                    shown = word if word.isascii() else "".join(alphabet[b] for b in word.encode())
-                    ids += [t.id for t in model.tokenize(shown)]
-                out = np.array(ids, np.uint16).tobytes()
-                if len(piece) < 64:
-                    self[piece] = out
-                return out
-
-        self.cache = Cache()
+        kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in kept)}
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.PLAIN.fullmatch(text) and not self.special.search(text):
-            return b"".join(map(self.cache.__getitem__, text.lower().split()))
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        return self.encode(pa.array([text], pa.string()))[0]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null counts as empty."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd)
+        out = self._plain(pc.if_else(odd, "", texts)).to_pylist()
+        for k in pc.indices_nonzero(odd).to_pylist():
+            out[k] = np.array(self.tok.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint16).tobytes()
+        return out
+
+    def _plain(self, texts: pa.Array) -> pa.Array:
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        pieces = split.flatten().dictionary_encode()
+        spelled = pc.ascii_split_whitespace(pc.replace_substring_regex(pieces.dictionary, self.WORDS, r"\0 "))
+        words = spelled.flatten().dictionary_encode()
+        ids = pa.array(self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        nothing = pa.scalar(b"", pa.large_binary())
+        by_piece = pc.binary_join(type(spelled).from_arrays(spelled.offsets, ids.take(words.indices)), nothing)
+        return pc.binary_join(type(split).from_arrays(split.offsets, by_piece.take(pieces.indices)), nothing)
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from those kept or else from the tokenizer's model."""
+        if len(self.newer) >= self.MOST:
+            self.newer, self.older = {}, self.newer
+        tokenize, newer, older = self.tok.model.tokenize, self.newer, self.older
+        out = list(map(newer.get, words))
+        for k, word in enumerate(words):
+            if out[k] is None:
+                found = older.get(word)
+                if found is None:
+                    shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+                    found = array("H", [t.id for t in tokenize(shown)]).tobytes()
+                out[k] = found
+                if len(word) < 64 and len(newer) < self.MOST:
+                    newer[word] = found
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -98,10 +119,10 @@ def tokenised(documents: DataFrame, path: str, id_col: str = "doc_id", text_col:
     close = np.array([CLOSE], np.uint16).tobytes()
 
     def run(batches):
-        encode, pack = encoder(path), zstandard.ZstdCompressor(1)
+        encode, pack = encoder(path).encode, zstandard.ZstdCompressor(1)
         for b in batches:
-            for part in (b.slice(k, 500) for k in range(0, b.num_rows, 500)):
-                raw = [encode(t) + close for t in part.column("text").to_pylist()]
+            for part in (b.slice(k, BATCH_ROWS) for k in range(0, b.num_rows, BATCH_ROWS)):
+                raw = [x + close for x in encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array([len(x) // 2 for x in raw], pa.int64()), pa.array([pack.compress(x) for x in raw], pa.binary())], names=["rid", "doc_id", "n", "ids"])
 
     slim = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
