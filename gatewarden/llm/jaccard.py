@@ -220,7 +220,7 @@ def _star_links(short: DataFrame, reps: DataFrame, packed: DataFrame) -> tuple[D
     nodes = saved(short.groupBy("rid").agg(F.sum("m").alias("met")).join(reps.select("rid", "n"), "rid"))
     middle = short.select("key", "rid").join(nodes.select("rid", "met"), "rid").groupBy("key").agg(F.max_by("rid", F.struct("met", "rid")).alias("top"))
     often = short.select("key", "rid").join(middle, "key").where("rid <> top").groupBy(F.col("top").alias("a"), F.col("rid").alias("b")).agg(F.count("*").alias("c"))
-    stars = often.join(nodes.select(F.col("rid").alias("b"), "n"), "b").where(10 * F.col("c") >= 3 * _head("n")).select("a", "b")
+    stars = saved(often.join(nodes.select(F.col("rid").alias("b"), "n"), "b").where(10 * F.col("c") >= 3 * _head("n")).select("a", "b"))
     return _probed(stars, packed), nodes
 
 
@@ -245,15 +245,15 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     need = F.ceil((F.col("na") + F.col("nb")) * PERCENT / F.lit(100.0 + PERCENT) - 1e-9)
     early = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
     fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & early
-    met = left.join(right, "key").where(fits).select("a", "b", "na", "nb").distinct()
+    met = saved(left.join(right, "key").where(fits).select("a", "b", "na", "nb").distinct())
     probed = met.join(reps.select(F.col("rid").alias("a"), F.col("keys").alias("ha")), "a").join(reps.select(F.col("rid").alias("b"), F.col("keys").alias("hb")), "b")
     rest = F.greatest(F.col("na") - _head("na"), F.col("nb") - _head("nb"))
-    more = probed.where(F.size(F.array_intersect("ha", "hb")) >= need - rest).select("a", "b")
+    more = saved(probed.where(F.size(F.array_intersect("ha", "hb")) >= need - rest).select("a", "b"))
     links = links.unionByName(_probed(more, packed))
     roots = components(links)
     rows = found.select("rid", "doc_id", "n", "f1", "f2")
     ids = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
-    classes = reps.select("f1", "f2", "rid").join(ids, ["f1", "f2"]).join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    classes = saved(reps.select("f1", "f2", "rid").join(ids, ["f1", "f2"]).join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("f1", "f2", "least", F.coalesce("root", "rid").alias("root")))
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f1", "f2", "component_id")
     linked = rows.where("n > 0").join(named, ["f1", "f2"]).select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return linked.unionByName(rows.where("n = 0").select("rid", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -221,14 +221,14 @@ def packed(documents: DataFrame, path: str | None = None, id_col: str = "doc_id"
     inside = placed.where("q IS NOT NULL")
     order = Window.partitionBy("q").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     first = inside.select("rid", F.array(F.struct(F.lit(0).cast("long").alias("skip"), F.col("rest").alias("length"), (F.col("q") + whole).alias("sequence"), F.coalesce(F.sum("rest").over(order), F.lit(0)).alias("offset"))).alias("pieces"))
-    loose = size.where("rest > 0").select("rid", "rest").join(inside.select("rid"), "rid", "left_anti")
+    loose = saved(size.where("rest > 0").select("rid", "rest").join(inside.select("rid"), "rid", "left_anti"))
     laid = running(loose, "rest", "at").withColumn("q", F.floor(F.col("at") / WINDOW).cast("long")).withColumn("o", F.col("at") % WINDOW)
     one = F.least("rest", WINDOW - F.col("o"))
     two = F.col("rest") - one
     base = whole + mixed
     greedy = laid.select("rid", F.filter(F.array(F.struct(F.lit(0).cast("long").alias("skip"), one.alias("length"), (F.col("q") + base).alias("sequence"), F.col("o").alias("offset")), F.struct(one.alias("skip"), two.alias("length"), (F.col("q") + base + 1).alias("sequence"), F.lit(0).cast("long").alias("offset"))), lambda p: p["length"] > 0).alias("pieces"))
     heads = running(size, "whole", "head").select("rid", "head")
-    where = heads.join(first.unionByName(greedy), "rid", "left")
+    where = saved(heads.join(saved(first.unionByName(greedy)), "rid", "left"))
 
     def cut(batches):
         for b in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, jaccard, packing, pii, quality
-from .common import table
+from .common import saved, table
 
 OWN = ("doc_id", "text")
 
@@ -45,7 +45,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), nulls.alias("nulls")).withColumn("row", F.concat(F.hex(F.xxhash64("d", "nulls")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "d", "nulls"))))
     ids = keyed.select("row", F.struct(F.col("d.doc_id").isNull().alias("none"), "d.doc_id", "row").alias("rank"))
     classes = jaccard.near_classes(keyed.select("row", "d.text"), id_col="row").select(F.col("doc_id").alias("row"), "component_id").distinct()
-    kept = classes.join(ids, "row").groupBy("component_id").agg(F.min("rank")["row"].alias("row"))
+    kept = saved(classes.join(ids, "row").groupBy("component_id").agg(F.min("rank")["row"].alias("row")).select("row"))
     return keyed.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("d.*")
 
 
